@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import decontam, jaccard_join, licenses, packing, resharding
+from psephos.llm import decontam, jaccard_join, licenses, packing, resharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_read(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op3_license_scan, op4_ngram_jaccard_join, op7_best_fit_packing, op9_resharding)}
+    return {f.__name__: f for f in (op2_decontamination, op3_license_scan, op4_ngram_jaccard_join, op5_suffix_array_dedup, op7_best_fit_packing, op9_resharding)}
 
 
 def oracle_sql() -> dict[str, str]:
