@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import decontam, jaccard_join, licenses, packing, resharding, suffix_dedup
+from psephos.llm import decontam, jaccard_join, langid, licenses, packing, resharding, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.digest(decontam.scan(docs, _read(spark, sf_dir, "benchmark")))
@@ -35,6 +39,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op3_license_scan, op4_ngram_jaccard_join, op5_suffix_array_dedup, op7_best_fit_packing, op9_resharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_license_scan, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_toxicity, op7_best_fit_packing, op9_resharding)}
 
 
 def oracle_sql() -> dict[str, str]:
