@@ -28,6 +28,8 @@ from psephos.llm.jaccard_join import roots
 COSINE, BLOCKS = 0.93, 4
 #: Vectors of a strip that one chunk holds.
 CHUNK = 1024
+#: Pairs that are verified at once.
+PAIRS = 32_768
 #: Slack of squared distances and strips, against rounding.
 SLACK = 1e-9
 
@@ -115,10 +117,7 @@ def _links(one: DataFrame, dim: int, cosine: float, blocks: int) -> DataFrame:
     """(vector, root, links) from every task: how many rows the vector's links found there stand for."""
     axes, variance = rotation(one, dim)
     own, share = split(variance, blocks, cosine)
-    kind = pa.list_(pa.float32() if "float" in dict(one.dtypes)["embedding"] else pa.float64())
-    element = dict(one.dtypes)["embedding"]
-    kind = pa.list_({"float": pa.float32(), "double": pa.float64()}.get(element[6:-1], pa.float64()))
-    one = one if element[6:-1] in ("float", "double") else one.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    one = one if dict(one.dtypes)["embedding"] in ("array<float>", "array<double>") else one.withColumn("embedding", F.col("embedding").cast("array<double>"))
     element = dict(one.dtypes)["embedding"]
     width = np.sqrt(share) + 1e-7
 
@@ -132,7 +131,6 @@ def _links(one: DataFrame, dim: int, cosine: float, blocks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(np.full(len(at), b, dtype=np.int32)), pa.array(at), *(batch.column(c) for c in ("vector", "copies", "embedding"))], names=["bucket", "block", "at", "vector", "copies", "embedding"])
 
     placed = one.withColumn("bucket", F.xxhash64("label")).mapInArrow(strips, f"bucket long, block int, at long, vector long, copies long, embedding {element}")
-    sizes = F.broadcast(placed.groupBy("bucket", "block", "at").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
     sizes = placed.groupBy("bucket", "block", "at").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     # a strip meets itself and the next one; the next one's chunks are known only to itself, so it visits with its own
     ahead = sizes.select("bucket", "block", (F.col("at") - 1).alias("at"), F.col("chunks").alias("next"))
@@ -160,15 +158,19 @@ def _links(one: DataFrame, dim: int, cosine: float, blocks: int) -> DataFrame:
             if not len(a) or not len(b):
                 continue
             turned = x @ axes
-            linked = _distances(turned[a][:, own[block]], turned[b][:, own[block]]) <= share[block] + SLACK
+            linked = _distances(turned[a][:, own[block]], turned[b][:, own[block]]) <= share[block] + 1e-6
             linked &= x[a] @ x[b].T >= cosine - 1e-6
             i, j = np.nonzero(linked)
-            for earlier in range(block):
-                d = turned[a[i]][:, own[earlier]] - turned[b[j]][:, own[earlier]]
-                fresh = np.einsum("ij,ij->i", d, d) > share[earlier] + SLACK
-                i, j = i[fresh], j[fresh]
-            exact = (np.einsum("ij,ij->i", x[a[i]], x[b[j]]) >= cosine) & (a[i] != b[j])
-            i, j = a[i[exact]], b[j[exact]]
+            kept = []
+            for part in range(0, len(i), PAIRS):
+                p, q = a[i[part : part + PAIRS]], b[j[part : part + PAIRS]]
+                within = (np.einsum("ij,ij->i", x[p], x[q]) >= cosine) & (p != q)
+                p, q = p[within], q[within]
+                d = np.square(turned[p] - turned[q])
+                near = np.stack([d[:, o].sum(axis=1) <= s + SLACK for o, s in zip(own[: block + 1], share)], axis=1)
+                first = near[:, block] & ~near[:, :block].any(axis=1)
+                kept.append((p[first], q[first]))
+            i, j = (np.concatenate(c) for c in zip(*kept)) if kept else (i, j)
             if not len(i):
                 continue
             both = np.zeros((len(x), len(x)), dtype=bool)

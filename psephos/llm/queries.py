@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from psephos.llm import decontam, jaccard_join, langid, licenses, packing, resharding, suffix_dedup, toxicity
+from psephos.llm import decontam, embed_dedup, jaccard_join, langid, licenses, packing, quotes, resharding, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.join(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From shards by source, uneven as sources are, to 40 shards of near-equal bytes."""
     docs = _read(spark, sf_dir, "documents")
@@ -55,8 +59,12 @@ def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(_read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_license_scan, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_toxicity, op7_best_fit_packing, op9_resharding)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_license_scan, op4_ngram_jaccard_join, op5_suffix_array_dedup, op6_toxicity, op7_best_fit_packing, op8_embedding_near_dedup, op9_resharding, op10_quotation_linking)}
 
 
 def oracle_sql() -> dict[str, str]:
