@@ -254,6 +254,7 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=names)
 
+    by_text = cluster.cut(by_text)  # so that adaptive execution can split the copies of one text
     rows = cluster.cut(tagged.join(by_text, ["key", "n"]).select("text", "key", "n", "contexts").mapInArrow(surroundings, fields))
     rows = rows.select("*", F.col("kh").alias("part"), F.lit(0).alias("low"), F.lit(least - k).alias("high"))
 
@@ -290,7 +291,17 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
         # windows that start low to high bytes before the anchor share low bytes to its left and least - high from it on
         halves = halves.where((F.length("left") >= F.col("low")) & (F.length("right") >= least - F.col("high")))
         core = F.xxhash64("kh", "low", "high", F.substring(F.col("left"), F.lit(1), F.col("low")), F.substring(F.col("right"), F.lit(1), least - F.col("high")))
-        rows = cluster.cut(halves.withColumn("part", core))
+        halves = halves.withColumn("part", core)
+        # the bytes that any window of the half can cover; where they are the same again, all of its windows repeat, and one row stands for the rest
+        halves = halves.withColumn("left", F.substring(F.col("left"), F.lit(1), F.col("high"))).withColumn("right", F.substring(F.col("right"), F.lit(1), least - F.col("low")))
+        halves = cluster.cut(halves.where(F.length("left") + F.length("right") >= least).withColumn("whole", F.xxhash64("part", "left", "right")))
+        wholes = halves.groupBy("part", "whole").agg(F.count("*").alias("size"), F.min(F.struct("key", "n", "a")).alias("one"))
+        again = wholes.where("size > 1").select("part", "whole", "one")
+        alike = cluster.cut(halves.join(again, ["part", "whole"]))
+        found.append(alike.where("not many").select("key", "n", (F.col("a") - F.length("left")).alias("start"), (F.col("a") + F.length("right")).alias("stop")))
+        rest = halves.join(again.drop("one"), ["part", "whole"], "left_anti")
+        rest = rest.unionByName(alike.where(F.struct("key", "n", "a") == F.col("one")).drop("one").withColumn("many", F.lit(True)))
+        rows = cluster.cut(rest.drop("whole"))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -300,7 +311,7 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
 def with_spans(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     """docs, its text column named text, and spans: the sorted, disjoint bytes from and to that go; null where nothing does."""
     texts = docs.select(F.col(text).alias("text"))
-    merged = spans(texts, least).groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    merged = cluster.cut(spans(texts, least).groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
     tagged = docs.withColumn("_key", F.xxhash64(text)).withColumn("_n", F.octet_length(text).cast("long"))
     return tagged.join(merged, (F.col("_key") == F.col("key")) & (F.col("_n") == F.col("n")), "left").drop("_key", "_n", "key", "n")
 
