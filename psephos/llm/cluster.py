@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +44,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts together hold about limit bytes, with those texts as bytes."""
     for batch in batches:
-        docs = texts_of(batch.column(text))
+        column = batch.column(text)
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
         start = held = 0
-        for i, doc in enumerate(docs):
-            if held and held + len(doc) > limit:
-                yield batch.slice(start, i - start), docs[start:i]
+        for i, n in enumerate([*sizes, limit + 1]):
+            if (held and held + n > limit or i == len(sizes)) and start < i:
+                yield batch.slice(start, i - start), texts_of(column.slice(start, i - start))
                 start, held = i, 0
-            held += len(doc)
-        if start < len(docs):
-            yield batch.slice(start), docs[start:]
+            held += n
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -104,8 +104,8 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """docs' other columns, and n_words, n_hit, items (sorted as strings), spans (bytes from and to) of every document.
+def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW, prefix: str = "") -> DataFrame:
+    """docs' other columns, and (names after prefix) n_words, n_hit, items (sorted as strings), spans (bytes from and to) of every document.
 
     A word inside any occurrence of a window is hit. Texts that are null, empty or
     without words have no words, hits or items. Neither ids nor rows need be unique.
@@ -116,7 +116,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", doc_id: s
     key = uuid.uuid4().hex
     spread = [spark.sparkContext.broadcast(b) for b in blocks_]
     span = "array<struct<from_byte: long, to_byte: long>>"
-    new = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": span}
+    new = {prefix + name: kind for name, kind in {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": span}.items()}
     kept = [c for c in docs.columns if c not in new]
     added = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in new.items()))
     schema = StructType([*docs.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *added.fields])
@@ -159,4 +159,4 @@ def digest(scanned: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """docs without the documents that hold a window, columns as they were."""
-    return scan(docs, benchmark, **kw).where("n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scan(docs, benchmark, prefix="__", **kw).where("__n_hit = 0").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -123,15 +123,16 @@ def sample(docs: DataFrame, lang: str = "lang", text: str = "text") -> list[tupl
 _tables: dict[str, list[np.ndarray]] = {}
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' other columns, lang_pred and score of every document's whole text, and nothing else.
+def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """docs' other columns, lang_pred and score (names after prefix) of every document's whole text, and nothing else.
 
     A text that is null, empty or without a letter is UNDETERMINED, with score 0; so are
     all if nothing was learned. Columns of docs with those names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [f"{prefix}lang_pred", f"{prefix}score"]
+    kept = [c for c in docs.columns if c not in names]
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
@@ -149,11 +150,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 e /= e.sum(axis=1, keepdims=True)
                 for i, k, s in zip(own, e.argmax(axis=1).tolist(), e.max(axis=1).tolist()):
                     pred[i], score[i] = m.languages[k], s
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, type=pa.string()), pa.array(score, type=pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, type=pa.string()), pa.array(score, type=pa.float64())], names=[*kept, *names])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
+#: A prediction of a lower score is no better than a guess.
+LEAST_SCORE = 0.3
+
+
+def known(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """docs whose language can be told, learned from their own labels; columns as they were."""
+    out = predict(docs, fit(sample(docs, lang, text)), text, prefix="__")
+    return out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def fold(doc_id: str, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % of

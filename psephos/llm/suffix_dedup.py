@@ -309,11 +309,12 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
-    """docs, its text column named text, and spans: the sorted, disjoint bytes from and to that go; null where nothing does."""
+    """docs and __spans: the sorted bytes from and to that go; null where nothing does."""
     texts = docs.select(F.col(text).alias("text"))
-    merged = cluster.cut(spans(texts, least).groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
-    tagged = docs.withColumn("_key", F.xxhash64(text)).withColumn("_n", F.octet_length(text).cast("long"))
-    return tagged.join(merged, (F.col("_key") == F.col("key")) & (F.col("_n") == F.col("n")), "left").drop("_key", "_n", "key", "n")
+    merged = cluster.cut(spans(texts, least).groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")))
+    tagged = docs.withColumn("__key", F.xxhash64(text)).withColumn("__n", F.octet_length(text).cast("long"))
+    merged = merged.withColumnsRenamed({"key": "__key", "n": "__n"})
+    return tagged.join(merged, ["__key", "__n"], "left").drop("__key", "__n")
 
 
 def _cut(text: bytes, own: list[dict] | None) -> tuple[bytes, int, int]:
@@ -346,7 +347,7 @@ def digest(docs: DataFrame, least: int = LEAST, *, text: str = "text", doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches):
-            cuts = [_cut(t, s) for t, s in zip(texts, batch.column("spans").to_pylist())]
+            cuts = [_cut(t, s) for t, s in zip(texts, batch.column("__spans").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, type=pa.int64()) for c in ([len(t) for t in texts], [c[1] for c in cuts], [c[2] for c in cuts])), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cuts])],
                 names=names,
@@ -358,11 +359,12 @@ def digest(docs: DataFrame, least: int = LEAST, *, text: str = "text", doc_id: s
 def remove(docs: DataFrame, least: int = LEAST, *, text: str = "text") -> DataFrame:
     """docs with what repeats cut out of the text, columns as they were; a character that a cut parts goes. Null texts stay null."""
     own = with_spans(docs, least, text)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches, text):
             was = batch.column(text).is_valid().to_pylist()
-            kept = [_cut(t, s)[0].decode("utf-8", "ignore") if v else None for t, s, v in zip(texts, batch.column("spans").to_pylist(), was)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.string()) if c == text else batch.column(c) for c in docs.columns], names=docs.columns)
+            kept = [_cut(t, s)[0].decode("utf-8", "ignore") if v else None for t, s, v in zip(texts, batch.column("__spans").to_pylist(), was)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
 
     return own.mapInArrow(run, docs.schema)
