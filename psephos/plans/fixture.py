@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: One row for each counted line of a form: candidates on 5_18, parties on 5_18_party; some counts unread.
 VOTES = """
-SELECT l_orderkey * 10 + l_linenumber AS seq,
+SELECT (l_orderkey * 1000 + l_linenumber) * 100000 + l_partkey AS seq,
   CASE WHEN l_linestatus = 'O' THEN '5_18' ELSE '5_18_party' END AS form_type,
   CAST(l_suppkey AS STRING) AS station_code, CAST(l_suppkey AS BIGINT) AS station_no, r_name AS district, n_name AS subdistrict,
   CASE WHEN l_linestatus = 'O' THEN 'candidate' ELSE 'party' END AS entity_kind,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.plans import analytics
+from psephos.plans import analytics, extras  # noqa: F401  (extras registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
