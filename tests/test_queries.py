@@ -21,7 +21,7 @@ def oracle():
 
 
 def plain(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if v is None or str(v) in ("<NA>", "nan"):
         return None
     return round(float(v), 9) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") and v.dtype.kind in "if" else str(v)
 
