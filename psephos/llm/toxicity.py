@@ -27,10 +27,10 @@ from psephos.llm.kernels import U, mix
 from psephos.llm.langid import fold
 
 #: The bounded sample of labelled rows that is learned from: clean and toxic texts, and bytes of a text at most.
-PER_LABEL, SAMPLE_BYTES = (6000, 2000), 6_144
+PER_LABEL, SAMPLE_BYTES = (4500, 1500), 4_096
 BITS, WIDTH, HALF = 20, 8, 12
 #: STEADY keeps Adam's step in proportion to the gradient for features of few passages, which would else be learned by heart.
-EPOCHS, WARM, RATE, STEADY, SEED = 90, 4, 0.6, 1e-4, 6
+EPOCHS, WARM, RATE, STEADY, SEED = 100, 4, 0.6, 1e-4, 6
 THRESHOLD = 0.3
 
 
@@ -118,26 +118,36 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
     y = np.array(toxic, dtype=np.int64)
     if not (0 < y.sum() < len(y)):
         return Model(np.zeros(1 << BITS), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
-    grams, starts, ends, first = features(texts)
-    data, _ = kernels.joined(texts)
-    hashes = kernels.word_hashes(data, starts, ends)
-    _, one, of = np.unique(hashes, return_index=True, return_inverse=True)
-    # features (row) of each distinct word, from one place where it stands
-    row, word = [whole_words(hashes[one])], [np.arange(len(one), dtype=np.int32)]
-    length = (ends - starts)[one]
+    known: dict[int, bytes] = {}
+    hashes, sizes = [], []
+    for i in range(0, len(texts), 100):
+        data, at = kernels.joined(texts[i : i + 100])
+        starts, ends = kernels.word_bounds(data, kernels.WORD)
+        own = kernels.word_hashes(data, starts, ends)
+        hashes.append(own)
+        sizes.append(np.diff(np.append(np.searchsorted(starts, at), len(starts))))
+        for h, j in zip(*(x.tolist() for x in np.unique(own, return_index=True))):
+            if h not in known:
+                known[h] = bytes(data[starts[j] : ends[j]])
+    hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+    first = np.cumsum(sizes) - sizes
+    distinct, of = np.unique(hashes, return_inverse=True)
+    grams, starts, ends, _ = features([known[h] for h in distinct.tolist()])
+    row, word = [whole_words(distinct)], [np.arange(len(distinct), dtype=np.int32)]
+    length = ends - starts
     for n, (rows, _) in zip((3, 4, 5), grams):
         for j in range(int(length.max())):
             w = np.flatnonzero(length + 3 - n > j)
-            row.append(rows[starts[one][w] - 1 + j])
+            row.append(rows[starts[w] - 1 + j])
             word.append(w.astype(np.int32))
     row, word = np.concatenate(row), np.concatenate(word)
     order = np.argsort(word, kind="stable")
     row, word = row[order], word[order]
     used, row = np.unique(row, return_inverse=True)  # features never met stay 0
     size = len(used)
-    begin = np.searchsorted(word, np.arange(len(one) + 1))
+    begin = np.searchsorted(word, np.arange(len(distinct) + 1))
     k = np.diff(begin)
-    half_at, half_size, half_doc = passages(first, len(starts))
+    half_at, half_size, half_doc = passages(first, len(hashes))
     fresh = (~again(hashes, half_size)).astype(np.float32)
     nxt = np.append(half_doc[1:] == half_doc[:-1], False)
     count = half_size.copy()
@@ -148,7 +158,7 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
     bias = np.zeros(2, dtype=np.float32)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, bias)]
     for epoch in range(epochs):
-        vector = np.add.reduceat(e[row], begin[:-1], axis=0) / k[:, None]
+        vector = np.stack([np.add.reduceat(e[:, d][row], begin[:-1]) for d in range(WIDTH)], axis=1) / k[:, None].astype(np.float32)
         value = vector @ (w[:, 1] - w[:, 0])
         halves = np.add.reduceat(value[of].astype(np.float64) * fresh, half_at)
         total = halves.copy()
@@ -171,11 +181,10 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
         g *= np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())).astype(np.float32)[:, None]
         back = np.repeat((g @ w.T) / n[:, None].astype(np.float32), n, axis=0) * fresh[places, None]
         touched, at = np.unique(words, return_inverse=True)
-        per_word = np.stack([np.bincount(at, weights=back[:, d], minlength=len(touched)) for d in range(WIDTH)], axis=1) / k[touched][:, None]
+        per_word = (np.stack([np.bincount(at, weights=back[:, d], minlength=len(touched)) for d in range(WIDTH)], axis=1) / k[touched][:, None]).astype(np.float32)
         m_ = k[touched]
         feats = row[np.repeat(begin[touched], m_) + (np.arange(m_.sum()) - np.repeat(np.cumsum(m_) - m_, m_))]
-        spread = np.repeat(per_word, m_, axis=0)
-        grad_e = np.stack([np.bincount(feats, weights=spread[:, d], minlength=size) for d in range(WIDTH)], axis=1).astype(np.float32)
+        grad_e = np.stack([np.bincount(feats, weights=np.repeat(per_word[:, d], m_), minlength=size).astype(np.float32) for d in range(WIDTH)], axis=1)
         for param, grad, (m, v) in zip((e, w, bias), (grad_e, mean_vec.T @ g, g.sum(axis=0)), moments):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
