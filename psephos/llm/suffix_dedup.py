@@ -232,6 +232,8 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
 
     packed = texts.mapInArrow(find, "pid int, rows binary, gone binary").repartition(partitions, "pid")
     met = cluster.cut(packed.mapInArrow(meet, "kh long, key long, n long, start long, stop long, a long, many boolean"))
+    del packed
+    cluster.release(spark)
     settled = met.where("kh is null").select("key", "n", "start", "stop")
 
     by_text = met.where("kh is not null").groupBy("key", "n").agg(F.collect_list(F.struct("kh", "start", "stop", "a", "many")).alias("contexts"))
@@ -256,6 +258,8 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
 
     by_text = cluster.cut(by_text)  # so that adaptive execution can split the copies of one text
     rows = cluster.cut(tagged.join(by_text, ["key", "n"]).select("text", "key", "n", "contexts").mapInArrow(surroundings, fields))
+    del by_text
+    cluster.release(spark)
     rows = rows.select("*", F.col("kh").alias("part"), F.lit(0).alias("low"), F.lit(least - k).alias("high"))
 
     def scan(groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
