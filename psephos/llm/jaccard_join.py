@@ -5,6 +5,11 @@ order is the global order. That order is cut into fragments, so a set is cut int
 fragments' parts, and the overlap of two sets is the sum of their overlaps in each
 fragment.
 
+Shared n-grams. Linked sets share at least t % of the larger one. So a set can only
+link if at least t % of its n-grams are in some other set too. Each fragment counts
+how many of each set's are, apart from the others, and the counts are summed for each
+set; most sets go no further.
+
 Candidates. Sets a and b with 100 * |a & b| >= t * |a | b| differ in at most
 D = (|a| + |b|) * (100 - t) / (100 + t) elements. Cut in more than D fragments, they
 agree in at least one entirely. The number of fragments follows from the size, in
@@ -39,9 +44,13 @@ from psephos.llm import cluster, kernels
 from psephos.llm.kernels import U, mix
 
 #: Most sets, and most n-grams, of one chunk of a group of candidates.
-CHUNK_SETS, CHUNK_GRAMS = 1024, 2_000_000
-#: Parts that a map task holds before it sends them.
-HELD_PARTS = 2_000_000
+CHUNK_SETS, CHUNK_GRAMS = 512, 1_000_000
+#: Parts, or n-grams, that a map task holds before it sends them.
+HELD_PARTS = 1_000_000
+#: N-grams that meet in one task.
+TASK_GRAMS = 800_000
+#: Sets whose ids are broadcast to their texts, about 10 MB; beyond that both sides are shuffled.
+BROADCAST_ROWS = 200_000
 #: N-grams of one fragment's presence matrix.
 FRAGMENT = 4096
 
@@ -126,7 +135,89 @@ def _star(parts_: np.ndarray, vertices: np.ndarray) -> tuple[np.ndarray, np.ndar
     return parts_[head], vertices[head], edges
 
 
-def candidates(docs: DataFrame, k: int, percent: int, partitions: int) -> DataFrame:
+def shared_grams(docs: DataFrame, k: int, partitions: int) -> DataFrame:
+    """(vertex, shared): how many of the set's n-grams other sets have too, or more; no row if none.
+
+    A map task sends each n-gram once: one that several of its sets have is counted for
+    them at once and sent without a set.
+    """
+    deal = 4 * partitions
+
+    def tally(grams: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams, a set of each (-1 where counted), and of all rows the sets that are counted now."""
+        order = np.argsort(grams, kind="stable")
+        grams, at = grams[order], at[order]
+        head = np.concatenate(([True], grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, dtype=bool)
+        group = np.cumsum(head) - 1
+        several = np.bincount(group, minlength=int(head.sum())) > 1
+        met = several[group] & (at >= 0)
+        one = at[head].copy()
+        one[several] = -1
+        return grams[head], one, at[met]
+
+    def send(sets: list[np.ndarray], vertices: list[int]) -> Iterator[pa.RecordBatch]:
+        if not sets:
+            return
+        grams, one, counted = tally(np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets]))
+        v = np.array(vertices, dtype=np.int64)
+        bounds = np.searchsorted(((grams >> U(32)) * U(deal)) >> U(32), np.arange(deal + 1, dtype=U))
+        rows = []
+        for i in range(deal):
+            if bounds[i] < bounds[i + 1]:
+                own = slice(bounds[i], bounds[i + 1])
+                table, at = np.unique(one[own], return_inverse=True)
+                ids = np.where(table >= 0, v[table], 0)
+                none = int((table < 0).sum())  # -1 is first, if it is there
+                rows.append((i, none, grams[own].tobytes(), ids.tobytes(), at.astype("<u2" if len(table) <= 1 << 16 else "<u4").tobytes(), b""))
+        n = np.bincount(counted, minlength=len(v))
+        rows.append((0, 0, b"", b"", b"", np.stack((v, n), axis=1)[n > 0].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["pid", "none", "grams", "vertices", "at", "counted"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        vertices: list[int] = []
+        seen: set[int] = set()
+        n = 0
+        for _, texts in cluster.blocks(batches):
+            for s in kernels.shingle_sets(texts, k):
+                if len(s) and (v := vertex_of(s)) not in seen:
+                    seen.add(v)
+                    sets.append(s)
+                    vertices.append(v)
+                    n += len(s)
+            if n >= HELD_PARTS:
+                yield from send(sets, vertices)
+                sets, vertices, n = [], [], 0
+        yield from send(sets, vertices)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, vertices, none, done = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)], [np.zeros((0, 2), dtype=np.int64)]
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams.append(np.frombuffer(row["grams"], dtype=U))
+                at = np.frombuffer(row["at"], dtype="<u2" if len(row["at"]) == 2 * len(grams[-1]) else "<u4")
+                vertices.append(np.frombuffer(row["vertices"], dtype=np.int64)[at])
+                none.append(at < row["none"])
+                done.append(np.frombuffer(row["counted"], dtype=np.int64).reshape(-1, 2))
+        g, v, no = np.concatenate(grams), np.concatenate(vertices), np.concatenate(none)
+        order = np.argsort(g, kind="stable")
+        g, v, no = g[order], v[order], no[order]
+        head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, dtype=bool)
+        group = np.cumsum(head) - 1
+        # a set's own copies in other tasks are not other sets
+        apart = np.bincount(group, weights=v != v[head][group]) > 0 if len(g) else np.zeros(0, dtype=bool)
+        apart |= np.bincount(group, weights=no, minlength=len(apart)) > 0
+        # copies in several tasks each count: more than is so, never less
+        ids, n = np.unique(v[apart[group] & ~no], return_counts=True)
+        done.append(np.stack((ids, n), axis=1))
+        all_ = np.concatenate(done)
+        yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1])], names=["vertex", "shared"])
+
+    packed = docs.select("text").mapInArrow(cut, "pid int, none int, grams binary, vertices binary, at binary, counted binary")
+    return packed.repartition(partitions, "pid").mapInArrow(meet, "vertex long, shared long").groupBy("vertex").agg(F.sum("shared").alias("shared"))
+
+
+def candidates(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
     """(u, v) edges between vertices; every linked pair is connected by them, through pairs that share a part."""
     packed = "pid int, parts binary, vertices binary, at binary, edges binary"
     deal = 4 * partitions
@@ -142,7 +233,7 @@ def candidates(docs: DataFrame, k: int, percent: int, partitions: int) -> DataFr
             own = slice(bounds[i], bounds[i + 1])
             if bounds[i] < bounds[i + 1]:
                 table, at = np.unique(v[own], return_inverse=True)
-                rows.append((i, p[own].tobytes(), table.tobytes(), at.astype("<u4").tobytes(), b""))
+                rows.append((i, p[own].tobytes(), table.tobytes(), at.astype("<u2" if len(table) <= 1 << 16 else "<u4").tobytes(), b""))
         if len(edges):
             rows.append((int(pid[0]), b"", b"", b"", edges.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["pid", "parts", "vertices", "at", "edges"])
@@ -150,14 +241,14 @@ def candidates(docs: DataFrame, k: int, percent: int, partitions: int) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
         n = 0
-        for _, texts in cluster.blocks(batches):
-            for s in kernels.shingle_sets(texts, k):
-                if len(s) and len(p := parts(s, percent)):
-                    held.append((p, vertex_of(s)))
+        for batch in batches:
+            for v, grams in zip(batch.column("vertex").to_pylist(), batch.column("grams")):
+                if len(p := parts(np.frombuffer(grams.as_buffer(), dtype=U), percent)):
+                    held.append((p, v))
                     n += len(p)
-            if n >= HELD_PARTS:
-                yield from send(held)
-                held, n = [], 0
+                if n >= HELD_PARTS:
+                    yield from send(held)
+                    held, n = [], 0
         yield from send(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +256,14 @@ def candidates(docs: DataFrame, k: int, percent: int, partitions: int) -> DataFr
         for batch in batches:
             for row in batch.to_pylist():
                 p.append(np.frombuffer(row["parts"], dtype=U))
-                v.append(np.frombuffer(row["vertices"], dtype=np.int64)[np.frombuffer(row["at"], dtype="<u4")])
+                narrow = len(row["at"]) == 2 * len(p[-1])
+                v.append(np.frombuffer(row["vertices"], dtype=np.int64)[np.frombuffer(row["at"], dtype="<u2" if narrow else "<u4")])
                 edges.append(np.frombuffer(row["edges"], dtype=np.int64).reshape(-1, 2))
         edges.append(_star(np.concatenate(p), np.concatenate(v))[2])
         both = np.unique(np.concatenate(edges), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
-    return docs.select("text").mapInArrow(cut, packed).repartition(partitions, "pid").mapInArrow(meet, "u long, v long")
+    return sets.select("vertex", "grams").mapInArrow(cut, packed).repartition(partitions, "pid").mapInArrow(meet, "u long, v long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -248,19 +340,17 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digest = cluster.cut(digests(docs, k))
     grams = digest.agg(F.sum("n_shingles")).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams // 4_000_000 + 1)
-    group = cluster.components(candidates(docs, k, percent, partitions)).select(F.col("node").alias("vertex"), F.col("root").alias("comp"))
-
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams // TASK_GRAMS + 1)
     known = digest.where("doc_id is not null and vertex is not null")
     vertices = known.groupBy("vertex").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    members = cluster.cut(group.join(vertices, "vertex").select("comp", "vertex", "copies", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")))
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"), F.count("*").alias("size"))
-    sizes = sizes.where("size > 1").drop("size")
-    wanted = members.join(sizes, "comp").select("doc_id", "text_hash", "comp", "vertex", "copies", "chunks")
+    shared = cluster.cut(shared_grams(docs.where("doc_id is not null"), k, partitions))
+    cluster.release(spark)
+    able = vertices.join(shared, "vertex").where(F.col("shared") * 100 >= F.col("n") * percent)
+    wanted = cluster.cut(able.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "vertex", "copies", "n"))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # repeated rows come to one task
-        names = ["comp", "vertex", "copies", "chunks"]
+        names = ["vertex", "copies", "n"]
         for batch, texts in cluster.blocks(batches):
             fresh = []
             for i, v in enumerate(batch.column("vertex").to_pylist()):
@@ -273,12 +363,20 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=[*names, "grams"])
 
     tagged = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
-    sets = tagged.join(wanted, ["doc_id", "text_hash"]).select("text", "comp", "vertex", "copies", "chunks").mapInArrow(cut_sets, "comp long, vertex long, copies long, chunks int, grams binary")
+    side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    kept = cluster.cut(tagged.join(side, ["doc_id", "text_hash"]).select("text", "vertex", "copies", "n").mapInArrow(cut_sets, "vertex long, copies long, n long, grams binary"))
+    cluster.release(spark)
+    group = cluster.components(candidates(kept, percent, partitions)).select(F.col("node").alias("vertex"), F.col("root").alias("comp"))
+    members = cluster.cut(group.join(kept.select("vertex", "n"), "vertex"))
+    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
+    sets = kept.join(members.join(sizes, "comp").select("vertex", "comp", "chunks"), "vertex")
     sets = sets.withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "comp", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "vertex", "copies", "grams"
     )
     found = cluster.cut(cluster.map_groups(met, ["comp", "low", "high"], lambda groups: _compare(groups, percent), "vertex long, root long, links long"))
+    del sets, met
+    cluster.release(spark)
 
     root = cluster.components(found.select(F.col("vertex").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("vertex"), "root")
     links = found.groupBy("vertex").agg(F.sum("links").alias("links")).where("links > 0")
