@@ -331,6 +331,24 @@ def q05(t: Tables) -> DataFrame:
     return clean.knn_impute(base, t.pstations.groupBy("station_code").agg(F.min("eligible_voters").alias("eligible_voters"), F.min("ballots_good").alias("ballots_good")), "seq").select("station_code", "entity_no", "votes")
 
 
+def _imputed(t: Tables, votes: DataFrame) -> DataFrame:
+    """All of a form's counts, those of every seventh station missing, filled; station figures are the constituency form's, for party votes too."""
+    base = votes.groupBy("station_code", "station_no", "entity_no").agg(F.max("votes").alias("votes"), F.min("seq").alias("seq"))
+    base = base.withColumn("votes", F.when(F.col("station_no") % 7 != 0, F.col("votes"))).drop("station_no")
+    stats = t.cstations.groupBy("station_code").agg(F.min("eligible_voters").alias("eligible_voters"), F.min("ballots_good").alias("ballots_good"))
+    return clean.knn_impute(base, stats, "seq").select("station_code", "entity_no", "votes")
+
+
+@query("q05_knn_impute_party")
+def q05p(t: Tables) -> DataFrame:
+    return _imputed(t, t.party)
+
+
+@query("q05_knn_impute_candidate")
+def q05c(t: Tables) -> DataFrame:
+    return _imputed(t, t.candidate)
+
+
 @query("p12_geo_filter", "+ z AS (SELECT * FROM s WHERE district = 'ASIA') SELECT seq, votes FROM v WHERE station_code IN (SELECT station_code FROM z)")
 def p12(t: Tables) -> DataFrame:
     return areas.geo_filter(t.stations, [t.votes], "ASIA")[1][0].select("seq", "votes")
