@@ -1,14 +1,19 @@
 """Quotation linking: replies found by what they quote, conversations in reply order without the quotes.
 
-A line that begins with > is quoted, once for each further >. Every quoted line,
-normalised (marks off, lower case, white space collapsed), is hashed and joined within
-its conversation to the messages that have it as a line of their own; it links to the
-latest of those before the reply. A message's parent is the latest message that its
-least deeply quoted linked lines link to. A thread is what hangs together by parents;
+A line that begins with > is quoted, once for each further >. Consecutive quoted
+lines of one level, up to an empty one, are a passage; its lines are joined and
+normalised (marks off, lower case, white space collapsed, line breaks too), so that
+it does not matter where they were wrapped. A passage is looked for in the messages of
+its conversation by 64-bit hash: among their own lines, else anywhere in the words of
+their own text, where windows of its first words say at which places all of it is
+hashed. If it is nowhere as a whole its lines are looked for one by one, whole own
+lines before parts, longer parts before shorter. A passage links to the latest such
+message before the reply. A message's parent is the latest message that its least
+deeply quoted linked passages link to. A thread is what hangs together by parents;
 threads stand in the order of their first messages, and a thread's messages in the
 order of their turns, so that a reply comes after what it replies to.
 
-Own lines and quoted lines meet as one ordered stream for each line and conversation,
+Own and quoted text meet as one ordered stream for each hash and conversation,
 so no pairs arise. Streams are parted by spans of turns; what a span needs from those
 before it is one turn. A conversation of any length is so never in one task.
 """
@@ -22,6 +27,8 @@ from psephos.llm import cluster
 
 #: Turns of a span.
 SPAN = 512
+#: Words of the windows that a passage is looked for by: as many as its first words fill.
+WINDOWS = (8, 4, 2, 1)
 
 MARK = r"^\s*>"
 #: The line before a quote that says whose it is.
@@ -47,25 +54,69 @@ def own_lines(all_lines: Column) -> Column:
     return F.filter(all_lines, lambda x, i: ~x.rlike(MARK) & ~(x.rlike(ATTRIBUTION) & after(i).rlike(MARK)))
 
 
+def passages(split: DataFrame) -> DataFrame:
+    """(conv_id, turn, m, p, line, level, s): the quoted passages p of every message m, line null, and the lines of those with several.
+
+    split are messages (conv_id, turn, l) with their lines. A quoted line that says whose the more deeply quoted next one is counts as none.
+    """
+    marked = F.transform("l", lambda x, i: F.struct(i.alias("line"), x.alias("x"), F.coalesce(F.try_element_at("l", i + 2), F.lit("")).alias("after")))
+    q = split.where(F.exists("l", lambda x: x.rlike(MARK))).select("conv_id", "turn", F.monotonically_increasing_id().alias("m"), F.explode(F.filter(marked, lambda y: y["x"].rlike(MARK))).alias("y"))
+    q = q.select("conv_id", "turn", "m", "y.line", level(F.col("y.x")).alias("level"), normalised(F.col("y.x")).alias("s"), (F.regexp_replace("y.x", r"^\s*>[>\s]*", "").rlike(ATTRIBUTION) & (level(F.col("y.after")) > level(F.col("y.x")))).alias("says"))
+    q = q.where("s <> '' and not says").drop("says")
+    by = Window.partitionBy("conv_id", "turn", "m").orderBy("line")
+    begins = F.coalesce((F.col("line") - F.lag("line").over(by) != 1) | (F.col("level") != F.lag("level").over(by)), F.lit(True))
+    q = q.withColumn("p", F.sum(begins.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    group = ["conv_id", "turn", "m", "p", "level"]
+    whole = q.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("line", "s"))).alias("of"))
+    whole = whole.withColumn("units", F.concat(F.array(F.struct(F.lit(None).cast("int").alias("line"), F.array_join("of.s", " ").alias("s"))), F.when(F.size("of") > 1, F.col("of")).otherwise(F.slice("of", 1, 0))))
+    return whole.select(*group, F.explode("units").alias("u")).select("conv_id", "turn", "m", "p", "u.line", "level", "u.s")
+
+
+def _as_line(s: Column) -> Column:
+    return F.xxhash64(F.lit("line"), s)
+
+
+def _as_words(s: Column) -> Column:
+    return F.xxhash64(F.lit("words"), s)
+
+
+def _holders(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv_id, turn, h) of the messages own (conv_id, turn, m, words) in whose words stand passages wanted (conv_id, s), some others with them."""
+    n = F.size("q")
+    w = wanted.withColumn("q", F.split("s", " ")).withColumn("n", n).withColumn("w", F.coalesce(*[F.when(n >= k, k) for k in WINDOWS]))
+    w = w.select("conv_id", "n", "w", F.xxhash64(F.array_join(F.slice("q", F.lit(1), F.col("w")), " ")).alias("first")).distinct()
+    some = own.join(w.groupBy("conv_id").agg(F.collect_set("w").alias("ws")), "conv_id").withColumn("w", F.explode("ws")).where(F.size("words") >= F.col("w"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("words") - F.col("w") + 1), lambda i: F.xxhash64(F.array_join(F.slice("words", i, F.col("w")), " ")))
+    places = some.select("conv_id", "turn", "m", "w", F.posexplode(hashes).alias("at", "first")).join(w, ["conv_id", "w", "first"])
+    places = places.groupBy("conv_id", "turn", "m").agg(F.collect_set(F.struct("at", "n")).alias("places"))
+    held = own.join(places, ["conv_id", "turn", "m"])
+    found = F.transform("places", lambda x: _as_words(F.array_join(F.slice("words", x["at"] + 1, x["n"]), " ")))
+    return held.select("conv_id", "turn", F.explode(F.array_distinct(found)).alias("h"))
+
+
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn) of messages (conv_id, turn, text) that quote an earlier one."""
     split = messages.withColumn("l", lines(F.col("text")))
-    quoting = split.where(F.exists("l", lambda x: x.rlike(MARK)))
-    quoted = quoting.select("conv_id", "turn", F.explode(F.filter("l", lambda x: x.rlike(MARK))).alias("x"))
-    quoted = quoted.select("conv_id", "turn", F.xxhash64(normalised(F.col("x"))).alias("h"), level(F.col("x")).alias("level")).where(F.col("h") != F.xxhash64(F.lit("")))
-    quoted = cluster.cut(quoted.groupBy("conv_id", "turn", "h").agg(F.min("level").alias("level")))
-    # only lines that are quoted somewhere in the conversation go on
-    own = split.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(own_lines(F.col("l"))).alias("x"))
-    own = own.select("conv_id", "turn", F.xxhash64(normalised(F.col("x"))).alias("h")).distinct()
+    units = cluster.cut(passages(split))
+    asked = units.select("*", F.explode(F.array(F.struct(F.lit(0).alias("part"), _as_line(F.col("s")).alias("h")), F.struct(F.lit(1).alias("part"), _as_words(F.col("s")).alias("h")))).alias("k")).select("*", "k.part", "k.h").drop("k")
+    quoted = cluster.cut(asked.select("conv_id", "turn", "h").distinct())
+    # only text that is quoted somewhere in the conversation goes on
+    own = split.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.filter(F.transform(own_lines(F.col("l")), normalised), lambda x: x != "").alias("o"))
+    own = cluster.cut(own.where(F.size("o") > 0).select("conv_id", "turn", F.monotonically_increasing_id().alias("m"), "o", F.split(F.array_join("o", " "), " ").alias("words")))
+    whole = own.select("conv_id", "turn", F.explode("o").alias("x")).select("conv_id", "turn", _as_line(F.col("x")).alias("h"))
+    own = whole.unionByName(_holders(own, units.select("conv_id", "s").distinct())).distinct()
     own = own.join(quoted.select("conv_id", "h").distinct(), ["conv_id", "h"], "left_semi")
 
-    both = quoted.select("conv_id", "h", "turn", "level", F.lit(None).cast("long").alias("own")).unionByName(own.select("conv_id", "h", "turn", F.lit(None).cast("int").alias("level"), F.col("turn").alias("own")))
+    both = quoted.select("conv_id", "h", "turn", F.lit(True).alias("asks"), F.lit(None).cast("long").alias("own")).unionByName(own.select("conv_id", "h", "turn", F.lit(False).alias("asks"), F.col("turn").alias("own")))
     both = cluster.cut(both.withColumn("span", F.floor(F.col("turn") / SPAN)))
     spans = both.groupBy("conv_id", "h", "span").agg(F.max("own").alias("last"))
     carried = spans.withColumn("carried", F.max("last").over(Window.partitionBy("conv_id", "h").orderBy("span").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
     within = F.max("own").over(Window.partitionBy("conv_id", "h", "span").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    linked = both.withColumn("within", within).where("level is not null").join(carried, ["conv_id", "h", "span"])
-    linked = linked.select("conv_id", "turn", "level", F.coalesce("within", "carried").alias("to")).where("to is not null")
+    linked = both.withColumn("within", within).where("asks").join(carried, ["conv_id", "h", "span"])
+    linked = linked.select("conv_id", "turn", "h", F.coalesce("within", "carried").alias("to")).where("to is not null")
+    hits = asked.join(linked, ["conv_id", "turn", "h"])
+    best = F.struct(F.col("line").isNotNull(), "part", F.when(F.col("part") == 1, -F.size(F.split("s", " "))).otherwise(0), -F.col("to"))
+    linked = hits.groupBy("conv_id", "turn", "m", "p", "level").agg(F.min_by("to", best).alias("to"))
     return linked.groupBy("conv_id", "turn").agg(F.min_by(F.col("to"), F.struct("level", -F.col("to"))).alias("parent_turn"))
 
 

@@ -318,6 +318,19 @@ def test_quotation_linking(spark):
     assert got.where("conv_id is null").first().position is None and got.count() == len(rows)
 
 
+def test_quotes_wrapped_anew_and_in_part(spark):
+    long = "The first sentence of this line is here. A second one, about the weather, follows it. The third ends the line."
+    texts = [
+        long, "Something else\nthat has two lines", "> The first sentence of this\n> line is here. A second\n> one, about the weather, follows it.\n> The third ends the line.\nwrapped",
+        "> A second one, about the weather, follows it.\nsentence", "> something ELSE that has\n> two lines\njoined", "> else\n> that\nwords", "> wrapped\n> The third ends the line.\nunlike",
+        "> On Monday a wrote:\n>> the third\n>> ends\n> sentence\nlevels", "> ends line the\nabsent", ">> levels\n> not there at all\ndeep", "> first sentence\n>\n> that has two\nparagraphs",
+    ]
+    got = quotes.link(spark.createDataFrame([(1, i, "u", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string"))
+    assert [r.parent_turn for r in got.orderBy("turn").collect()] == [None, None, 0, 0, 1, 1, 2, 3, None, 7, 1]
+    one = quotes.link(spark.createDataFrame([(1, 0, "u", "yes"), (1, 1, "u", "yes but"), (1, 2, "u", "> yes\nso"), (2, 0, "u", "> yes\nno")], "conv_id long, turn long, role string, text string"))
+    assert [r.parent_turn for r in one.orderBy("conv_id", "turn").collect()] == [None, None, 0, None]
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 2), (9, 8), (8, 7), (7, 7), (20, 2), (None, 1)]
     got = {r.node: r.root for r in cluster.components(spark.createDataFrame(edges, "u long, v long")).collect()}
