@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
 Each rule is a regex over normalised text (lower case, words parted by single
-spaces), a label, a priority and a keyword, a word without which it can't match.
-Only rules whose keyword is among a text's words are tried. Detections that lie within another of higher priority, or of the same priority
+spaces), a label, a priority and a keyword: words parted by |, without all of which it
+can't match. Only rules with such a word among a text's words are tried. Detections that lie within another of higher priority, or of the same priority
 and longer, are suppressed. Base phrases are found everywhere, apart from the rules,
 and their labels are never suppressed.
 """
@@ -33,12 +33,19 @@ class Rule:
 
 
 def _keyword(pattern: str, liked: str) -> str:
-    """A word that every match holds: liked if it is one, else the longest that stands outside of groups."""
+    """Words, parted by |, of which every match holds one: for each way to write the optional spaces liked if it is a word there, else the longest that stands outside of groups."""
     bare = pattern
     while (less := re.sub(r"\([^()]*\)[?*+]?(?:\{[^}]*\}\??)?", " | ", bare)) != bare:
         bare = less
-    plain = re.findall(r"(?<![\w\\])[a-z0-9]+(?![\w?*+{\[])", bare)
-    return liked if liked in plain else max(plain, key=len, default="")
+    first, *others = bare.split(" ?")
+    forms = [first]
+    for piece in others:
+        forms = [f"{form}{space}{piece}" for form in forms for space in (" ", "")]
+    words = []
+    for form in forms:
+        plain = re.findall(r"(?<![\w\\])[a-z0-9]+(?![\w?*+{\[])", form)
+        words.append(liked if liked in plain else max(plain, key=len, default=""))
+    return "|".join(dict.fromkeys(words))
 
 
 def _family(label: str, name: str, keyword: str, spdx: tuple[str, ...] = (), versions: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> list[Rule]:
@@ -135,7 +142,8 @@ class Scanner:
         self.compiled = [re.compile(f" {r.pattern}(?= )".encode()) for r in self.rules]
         self.by_keyword: dict[bytes, list[int]] = {}
         for i, r in enumerate(self.rules):
-            self.by_keyword.setdefault(r.keyword.encode(), []).append(i)
+            for word in r.keyword.encode().split(b"|"):
+                self.by_keyword.setdefault(word, []).append(i)
         self.base = [(f" {p} ".encode(), label) for p, label in BASE.items()]
 
     def base_places(self, folded: bytes) -> list[tuple[int, str]]:

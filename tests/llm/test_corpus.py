@@ -177,6 +177,42 @@ def test_license_scan(spark):
     assert len(licenses.rules()) > 200 and all(r.keyword for r in licenses.rules())
 
 
+def written(tree, full):
+    """A text that a parsed pattern matches: with all that is optional, or without."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            kind, value = arg[0]
+            out += chr(value) if str(kind) == "LITERAL" else chr(value[0]) if str(kind) == "RANGE" else "7" if "DIGIT" in str(value) else "x"
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += written(arg[2], full) * (max(1, arg[0]) if full else arg[0])
+        elif name == "SUBPATTERN":
+            out += written(arg[3], full)
+        elif name == "BRANCH":
+            out += written(arg[1][-1 if full else 0], full)
+        else:
+            assert name in ("ASSERT_NOT",), name
+    return out
+
+
+def test_license_gate_drops_no_match(spark):
+    s = licenses.scanner()
+    every = licenses.Scanner()
+    for rule in every.rules:
+        # pieces of optional spaces, joined and apart
+        for full in (True, False):
+            text = written(re._parser.parse(rule.pattern), full)
+            folded = f" {text} ".encode()
+            assert re.search(f" {rule.pattern}(?= )".encode(), folded), (rule, text)
+            every.by_keyword = {w: list(range(len(every.rules))) for w in folded.split()}
+            assert s.detections(folded.split(), folded) == every.detections(folded.split(), folded) != [], (rule, text)
+    docs = ["Licensed under the Beerware license", "under the CreativeML OpenRAIL license", "beer ware license", "Open RAIL license", "openrail"]
+    assert [r.labels for r in licenses.scan(make(spark, docs)).orderBy("doc_id").collect()] == ["beerware", "rail", "beerware", "rail", ""]
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
