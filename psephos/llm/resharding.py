@@ -165,14 +165,38 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, *,
     return out.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, doc_id: str = "doc_id") -> list[int]:
+def _numbered(rows: DataFrame, alike: list[str]) -> DataFrame:
+    """rows with a number _nth from 0 among those alike. _row is a row's own number, its partition's in the upper bits: rows alike are numbered by partition, so that no task has them all."""
+    rows = rows.withColumn("_part", F.shiftright("_row", 33))
+    counts = rows.groupBy(*alike, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*alike).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*alike, "_part").orderBy("_row")) - 1
+    return rows.withColumn("_nth", own).join(starts, [*alike, "_part"]).withColumn("_nth", F.col("_nth") + F.col("_at")).drop("_part", "_at")
+
+
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, *, text: str = "text", doc_id: str = "doc_id", old_shard: Column | None = None) -> list[int]:
     """Writes the shards that gain or lose a document to path/shard=N, texts and all; returns which those are.
 
-    placed is reshard()'s result for docs, whose doc_id must be unique and not null.
-    Shards that keep exactly their documents are left alone.
+    placed is reshard()'s result for docs. Every row of a touched shard is written once,
+    null and repeated doc_ids too: rows that are alike in what reshard() places them by
+    take its places one each. old_shard is what reshard() was given; without it, docs
+    whose other columns could get into a wrong shard raise an error. Shards that keep
+    exactly their documents are left alone.
     """
-    moved = placed.where("old_shard <> shard")
-    touched = sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
-    rows = docs.join(placed.where(F.col("shard").isin(touched)).select(F.col("doc_id").alias("_id"), "shard", "slot"), F.col(doc_id) == F.col("_id")).drop("_id")
+    alike = ["_null", "_id", "_size", "_crc", *(["_old"] if old_shard is not None else [])]
+    same = lambda i: (i.isNull().alias("_null"), F.coalesce(i.cast("long"), F.lit(0)).alias("_id"))
+    row = F.monotonically_increasing_id().alias("_row")
+    at = cluster.cut(placed.select(*same(F.col("doc_id")), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("old_shard").alias("_old"), "shard", "slot", row))
+    if old_shard is None and set(docs.columns) - {text, doc_id} and at.groupBy(*alike).agg((F.min("_old") < F.max("_old")).alias("x")).where("x").head(1):
+        raise ValueError("rows alike in id and text are in several old shards: old_shard must be given")
+    touched = sorted(r[0] for r in at.where("_old <> shard").select(F.explode(F.array("_old", "shard")).alias("s")).distinct().collect())
+    t = F.col(text)
+    size = F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + ROW_BYTES
+    crc = F.crc32(F.coalesce(t, F.lit("")).cast("binary"))
+    keyed = cluster.cut(docs.select("*", *same(F.col(doc_id)), size.alias("_size"), crc.alias("_crc"), F.coalesce(F.lit(0) if old_shard is None else old_shard, F.lit(0)).cast("int").alias("_old"), row))
+    places = _numbered(at.where(F.col("shard").isin(touched)).select(*alike, "_row", "shard", "slot"), alike).drop("_row")
+    places = _numbered(keyed.select(*alike, "_row"), alike).join(places, [*alike, "_nth"]).select("_row", "shard", "slot")
+    rows = keyed.join(places, "_row").select(*docs.columns, "shard", "slot")
     rows.repartition("shard", F.pmod(F.col("slot"), F.lit(16))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return touched

@@ -281,6 +281,25 @@ def test_resharding(spark, corpus, tmp_path):
     assert resharding.reshard(docs.limit(0), F.lit(0), 1, 2).count() == 0
 
 
+def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path):
+    rows = [(None, "no id", 0), (None, None, 0), (None, None, 1), (None, "no id", 2), *[(7, "same", i % 3) for i in range(9)], (8, "one", 0), (8, "other", 1), (None, "no id", 2), *[(i, f"text {i}" * (i % 5), 0) for i in range(20, 60)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int").repartition(3)
+    placed = resharding.reshard(docs, F.col("old"), 3, 4)
+    touched = resharding.rewrite(docs, placed, f"{tmp_path}/s", old_shard=F.col("old"))
+    out = spark.read.parquet(f"{tmp_path}/s").collect()
+    left = [r for r in placed.collect() if r["shard"] in touched]
+    assert 0 in touched and 3 in touched
+    assert Counter((r.doc_id, r.text, r.old) for r in out) == Counter(r for r in rows if r[2] in touched)
+    assert sorted((r["shard"], r.slot) for r in out) == sorted((r["shard"], r.slot) for r in left)
+    full = lambda r, old: (r["shard"], old, r.doc_id, r.text_crc32 if "text_crc32" in r else zlib.crc32((r.text or "").encode()))
+    assert Counter(full(r, r.old) for r in out) == Counter(full(r, r.old_shard) for r in left)
+    # texts and ids alone need no old_shard; other columns could be exchanged without it
+    resharding.rewrite(docs.select("doc_id", "text"), placed, f"{tmp_path}/t")
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == Counter((r.doc_id, r.text) for r in out)
+    with pytest.raises(ValueError):
+        resharding.rewrite(docs, placed, f"{tmp_path}/u")
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(6, 16))
