@@ -108,10 +108,10 @@ def sample(docs: DataFrame, lang: str = "lang", text: str = "text") -> list[tupl
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= SAMPLE_BYTES))
     usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("own")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return []
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3 * PER_LANGUAGE / r["n"])))])
+    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3 * PER_LANGUAGE / r["own"])))])
     picked = usable.where(F.pmod("h", F.lit(1_000_003)) < part[F.col("lang")] * 1_000_003).distinct()
     own: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in picked.orderBy("h", "lang", "text").limit(8 * PER_LANGUAGE * len(counts)).toLocalIterator():

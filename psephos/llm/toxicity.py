@@ -27,8 +27,10 @@ from psephos.llm.kernels import U, mix
 from psephos.llm.langid import fold
 
 #: The bounded sample of labelled rows that is learned from: clean and toxic texts, and bytes of a text at most.
-PER_LABEL, SAMPLE_BYTES = (4500, 1500), 4_096
+PER_LABEL, SAMPLE_BYTES = (6000, 2000), 6_144
 BITS, WIDTH, HALF = 20, 8, 12
+#: Passages, and words' features, that training takes at a time.
+PASSAGES, FEATURES = 10_000, 500_000
 #: STEADY keeps Adam's step in proportion to the gradient for features of few passages, which would else be learned by heart.
 EPOCHS, WARM, RATE, STEADY, SEED = 100, 4, 0.6, 1e-4, 6
 THRESHOLD = 0.3
@@ -131,8 +133,10 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
                 known[h] = bytes(data[starts[j] : ends[j]])
     hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
     first = np.cumsum(sizes) - sizes
-    distinct, of = np.unique(hashes, return_inverse=True)
+    distinct = np.unique(hashes)
+    of = np.searchsorted(distinct, hashes).astype(np.int32)
     grams, starts, ends, _ = features([known[h] for h in distinct.tolist()])
+    del known
     row, word = [whole_words(distinct)], [np.arange(len(distinct), dtype=np.int32)]
     length = ends - starts
     for n, (rows, _) in zip((3, 4, 5), grams):
@@ -143,15 +147,18 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
     row, word = np.concatenate(row), np.concatenate(word)
     order = np.argsort(word, kind="stable")
     row, word = row[order], word[order]
-    used, row = np.unique(row, return_inverse=True)  # features never met stay 0
+    used = np.unique(row)  # features never met stay 0
+    row = np.searchsorted(used, row).astype(np.int32)
     size = len(used)
     begin = np.searchsorted(word, np.arange(len(distinct) + 1))
     k = np.diff(begin)
+    del grams, word, order
     half_at, half_size, half_doc = passages(first, len(hashes))
     fresh = (~again(hashes, half_size)).astype(np.float32)
     nxt = np.append(half_doc[1:] == half_doc[:-1], False)
     count = half_size.copy()
     count[nxt] += half_size[1:][nxt[:-1]]
+    del hashes
 
     e = rng.uniform(-0.01, 0.01, (size, WIDTH)).astype(np.float32)
     w = rng.uniform(-1, 1, (WIDTH, 2)).astype(np.float32)
@@ -168,24 +175,38 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
         rank = np.arange(len(order)) - np.searchsorted(half_doc[order], half_doc[order])
         # at first all passages of a toxic text count, as long as the model can't tell them apart
         take = order[rank < np.where(y[half_doc[order]] == 1, 1 if epoch >= WARM else 10**9, 4)]
-        label = y[half_doc[take]]
-        n = count[take]
-        ends_ = np.cumsum(n)
-        places = np.repeat(half_at[take], n) + (np.arange(ends_[-1]) - np.repeat(ends_ - n, n))
-        words = of[places]
-        mean_vec = np.add.reduceat(vector[words] * fresh[places, None], ends_ - n, axis=0) / n[:, None].astype(np.float32)
-        logit = mean_vec @ w + bias
-        p = np.exp(logit - logit.max(axis=1, keepdims=True))
-        g = p / p.sum(axis=1, keepdims=True)
-        g[np.arange(len(g)), label] -= 1
-        g *= np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum())).astype(np.float32)[:, None]
-        back = np.repeat((g @ w.T) / n[:, None].astype(np.float32), n, axis=0) * fresh[places, None]
-        touched, at = np.unique(words, return_inverse=True)
-        per_word = (np.stack([np.bincount(at, weights=back[:, d], minlength=len(touched)) for d in range(WIDTH)], axis=1) / k[touched][:, None]).astype(np.float32)
-        m_ = k[touched]
-        feats = row[np.repeat(begin[touched], m_) + (np.arange(m_.sum()) - np.repeat(np.cumsum(m_) - m_, m_))]
-        grad_e = np.stack([np.bincount(feats, weights=np.repeat(per_word[:, d], m_), minlength=size).astype(np.float32) for d in range(WIDTH)], axis=1)
-        for param, grad, (m, v) in zip((e, w, bias), (grad_e, mean_vec.T @ g, g.sum(axis=0)), moments):
+        weight = [0.5 / max(1, (y[half_doc[take]] == c).sum()) for c in (0, 1)]
+        grad_w, grad_bias = np.zeros_like(w), np.zeros_like(bias)
+        per_word = np.zeros((WIDTH, len(distinct)))
+        for c in range(0, len(take), PASSAGES):
+            part = take[c : c + PASSAGES]
+            label = y[half_doc[part]]
+            n = count[part]
+            ends_ = np.cumsum(n)
+            places = np.repeat(half_at[part], n) + (np.arange(ends_[-1]) - np.repeat(ends_ - n, n))
+            words = of[places]
+            mean_vec = np.add.reduceat(vector[words] * fresh[places, None], ends_ - n, axis=0) / n[:, None].astype(np.float32)
+            logit = mean_vec @ w + bias
+            p = np.exp(logit - logit.max(axis=1, keepdims=True))
+            g = p / p.sum(axis=1, keepdims=True)
+            g[np.arange(len(g)), label] -= 1
+            g *= np.where(label == 1, weight[1], weight[0]).astype(np.float32)[:, None]
+            grad_w += mean_vec.T @ g
+            grad_bias += g.sum(axis=0)
+            back = np.repeat((g @ w.T) / n[:, None].astype(np.float32), n, axis=0) * fresh[places, None]
+            touched, at = np.unique(words, return_inverse=True)
+            for d in range(WIDTH):
+                per_word[d, touched] += np.bincount(at, weights=back[:, d], minlength=len(touched))
+        per_word = (per_word / k).astype(np.float32)
+        touched = np.flatnonzero(per_word.any(axis=0))
+        grad_e = np.zeros_like(e)
+        bounds = np.searchsorted(np.cumsum(k[touched]), np.arange(0, k[touched].sum() + FEATURES, FEATURES))
+        for part in (touched[a:b] for a, b in zip(bounds, [*bounds[1:], len(touched)]) if a < b):
+            m_ = k[part]
+            feats = row[np.repeat(begin[part], m_) + (np.arange(m_.sum()) - np.repeat(np.cumsum(m_) - m_, m_))]
+            for d in range(WIDTH):
+                grad_e[:, d] += np.bincount(feats, weights=np.repeat(per_word[d, part], m_), minlength=size)
+        for param, grad, (m, v) in zip((e, w, bias), (grad_e, grad_w, grad_bias), moments):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             param -= (RATE * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + STEADY)).astype(np.float32)
@@ -200,16 +221,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
     docs are (doc_id, text), labels (doc_id, toxic); labels that are null or neither 0 nor 1 are left out.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES)).join(known, "doc_id").select("toxic", "text", F.xxhash64("text").alias("h"))
-    counts = {r["toxic"]: r["n"] for r in joined.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    hashed = docs.where(F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "text", F.xxhash64("text").alias("h"))
+    own = hashed.drop("text").join(known, "doc_id").select("toxic", "h").distinct()
+    picked = [(label, r["h"]) for label in (0, 1) for r in own.where(F.col("toxic") == label).orderBy("h").limit(PER_LABEL[label]).collect()]
+    # texts are read for the chosen hashes only, so that no others are shuffled
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "toxic int, h long"))
     texts: list[bytes] = []
     toxic: list[int] = []
-    for label in sorted(counts):
-        part = min(1.0, 3 * PER_LABEL[label] / counts[label])
-        picked = joined.where((F.col("toxic") == label) & (F.pmod("h", F.lit(1_000_003)) < part * 1_000_003)).select("h", "text").distinct()
-        for r in picked.orderBy("h", "text").limit(PER_LABEL[label]).collect():
-            texts.append(r["text"].encode())
-            toxic.append(label)
+    for r in hashed.drop("doc_id").join(chosen, "h").distinct().orderBy("toxic", "h", "text").toLocalIterator():
+        texts.append(r["text"].encode())
+        toxic.append(r["toxic"])
     return texts, toxic
 
 

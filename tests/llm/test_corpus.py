@@ -361,6 +361,26 @@ def test_toxicity(spark):
     assert all(got[i].held_out == (i in held) for i in range(300))
 
 
+def test_samples_are_thinned_by_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_LABEL", (40, 40))
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 40)
+    texts = [f"copy {i % 2}" if i < 6000 else f"text {i}" for i in range(6060)]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    assert len(toxicity.sample(docs, labels)[0]) == len(set(langid.sample(docs))) == 40
+
+
+def test_toxicity_is_trained_the_same_in_parts(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    labels = [i % 2 for i in range(40)]
+    texts = [" ".join(rng.choices(words, k=60) + ["vile"] * y).encode() for y in labels]
+    whole = toxicity.fit(texts, labels, 6)
+    monkeypatch.setattr(toxicity, "PASSAGES", 7)
+    monkeypatch.setattr(toxicity, "FEATURES", 50)
+    assert np.allclose(toxicity.fit(texts, labels, 6).scores(texts), whole.scores(texts), atol=1e-3)
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "u", "Hello all\nwhat is up?"), (1, 1, "a", "Not much"), (1, 2, "b", "On Monday u wrote:\n> Hello all\n> what is UP?\nfine here"),
