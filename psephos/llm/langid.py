@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from psephos.llm import cluster
 
-#: The bounded sample of labelled texts that is learned from: languages (the most frequent), texts of each, and bytes of a text at most.
-LANGUAGES, PER_LANGUAGE, SAMPLE_BYTES = 64, 500, 16_384
-#: Landmarks of each language.
-LANDMARKS = 48
+#: The bounded sample of labelled texts that is learned from: texts in all, texts of a language, and bytes of a text at most. Every language has its part of it.
+SAMPLE, PER_LANGUAGE, SAMPLE_BYTES = 32_000, 500, 16_384
+#: Landmarks of each language, and in all.
+LANDMARKS, ALL_LANDMARKS = 48, 3_072
 RIDGE = 1e-2
 #: Scores are a softmax of the regressions' values over this.
 TEMPERATURE = 0.25
@@ -79,9 +79,13 @@ class Model:
 
 
 def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """From (language, text) pairs, whose first of each language become landmarks."""
-    languages = sorted({lang for lang, _ in sample})
-    chosen = [text for lang in languages for text in [t for own, t in sample if own == lang][:landmarks]]
+    """From (language, text) pairs, whose first of each language become landmarks, as many of each as fit into ALL_LANDMARKS."""
+    of: dict[str, list[str]] = {}
+    for lang, text in sample:
+        of.setdefault(lang, []).append(text)
+    languages = sorted(of)
+    each = min(landmarks, max(1, ALL_LANDMARKS // max(1, len(languages))))
+    chosen = [text for lang in languages for text in of[lang][:each]][:ALL_LANDMARKS]
     vocabulary = [np.unique(np.concatenate([c[n] for c in map(codes, chosen)] or [np.zeros(0, dtype=np.int32)])) for n in range(3)]
     width = sum(map(len, vocabulary))
     model = Model(languages, vocabulary, np.zeros((0, width), dtype=np.float32), np.zeros((0, 0)), uuid.uuid4().hex)
@@ -101,21 +105,24 @@ def fit(sample: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float
 
 
 def sample(docs: DataFrame, lang: str = "lang", text: str = "text") -> list[tuple[str, str]]:
-    """(language, text) of at most PER_LANGUAGE distinct texts of each of the LANGUAGES most frequent languages.
+    """(language, text) of at most PER_LANGUAGE distinct texts of each language, fewer of each if they would be more than SAMPLE.
 
     The texts with the smallest hashes of those of SAMPLE_BYTES at most; the driver
-    gets about three times as many as it keeps.
+    gets about three times as many as it keeps. Null languages and texts and texts
+    without a letter are not learned from.
     """
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.octet_length(text) <= SAMPLE_BYTES))
     usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("own")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("own")).orderBy(F.desc("n"), "lang").limit(SAMPLE).collect()
     if not counts:
         return []
-    part = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 3 * PER_LANGUAGE / r["own"])))])
-    picked = usable.where(F.pmod("h", F.lit(1_000_003)) < part[F.col("lang")] * 1_000_003).distinct()
+    each = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    share = [(r["lang"], min(1_000_003, 3_000_009 * each // r["own"] + 1)) for r in counts]
+    part = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, part long"))  # one row a language, SAMPLE at most
+    picked = usable.join(part, "lang").where(F.pmod("h", F.lit(1_000_003)) < F.col("part")).drop("part").distinct()
     own: dict[str, list[str]] = {r["lang"]: [] for r in counts}
-    for r in picked.orderBy("h", "lang", "text").limit(8 * PER_LANGUAGE * len(counts)).toLocalIterator():
-        if r["lang"] in own and len(own[r["lang"]]) < PER_LANGUAGE and has_letter(r["text"]):
+    for r in picked.orderBy("h", "lang", "text").limit(8 * each * len(counts)).toLocalIterator():
+        if len(own[r["lang"]]) < each and has_letter(r["text"]):
             own[r["lang"]].append(r["text"])
     return [(lang, t) for lang in sorted(own) for t in own[lang]]
 
@@ -123,46 +130,52 @@ def sample(docs: DataFrame, lang: str = "lang", text: str = "text") -> list[tupl
 _tables: dict[str, list[np.ndarray]] = {}
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
-    """docs' other columns, lang_pred and score (names after prefix) of every document's whole text, and nothing else.
+def predict(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "value")) -> DataFrame:
+    """docs' other columns and, by names, each document's language, score and the regression's value for that language, from its whole text and nothing else.
 
-    A text that is null, empty or without a letter is UNDETERMINED, with score 0; so are
-    all if nothing was learned. Columns of docs with those names are replaced.
+    A text that is null, empty or without a letter is UNDETERMINED, with score 0 and
+    value -1; so are all if nothing was learned. A very long text is a block of its own.
+    Repeated rows are predicted each. Columns of docs with those names are replaced.
     """
-    names = [f"{prefix}lang_pred", f"{prefix}score"]
     kept = [c for c in docs.columns if c not in names]
     spread = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(names[0], "string").add(names[1], "double")
+    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(names[0], "string").add(names[1], "double").add(names[2], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = spread.value
         if m.id not in _tables:
             _tables.clear()
             _tables[m.id] = m.lookup()
-        for batch, _ in cluster.blocks(batches, text, 1_000_000):
+        for batch, _ in cluster.blocks(batches, text):
             texts = batch.column(text).to_pylist()
             known = [i for i, t in enumerate(texts) if t and m.languages and has_letter(t)]
-            pred, score = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            pred, score, value = [UNDETERMINED] * len(texts), [0.0] * len(texts), [-1.0] * len(texts)
             for a in range(0, len(known), 256):
                 own = known[a : a + 256]
-                v = m.values([texts[i] for i in own], _tables[m.id]).astype(np.float64) / TEMPERATURE
-                e = np.exp(v - v.max(axis=1, keepdims=True))
+                v = m.values([texts[i] for i in own], _tables[m.id]).astype(np.float64)
+                e = np.exp((v - v.max(axis=1, keepdims=True)) / TEMPERATURE)
                 e /= e.sum(axis=1, keepdims=True)
-                for i, k, s in zip(own, e.argmax(axis=1).tolist(), e.max(axis=1).tolist()):
-                    pred[i], score[i] = m.languages[k], s
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, type=pa.string()), pa.array(score, type=pa.float64())], names=[*kept, *names])
+                for i, k, s, x in zip(own, e.argmax(axis=1).tolist(), e.max(axis=1).tolist(), v.max(axis=1).tolist()):
+                    pred[i], score[i], value[i] = m.languages[k], s, x
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(pred, type=pa.string()), pa.array(score, type=pa.float64()), pa.array(value, type=pa.float64())], names=[*kept, *names])
 
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-#: A prediction of a lower score is no better than a guess.
-LEAST_SCORE = 0.3
+#: Below this every language's regression says that a text is one of the rest; it doesn't depend on how many languages there are.
+LEAST_VALUE = 0.0
 
 
-def known(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """docs whose language can be told, learned from their own labels; columns as they were."""
-    out = predict(docs, fit(sample(docs, lang, text)), text, prefix="__")
-    return out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+def known(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: float = LEAST_VALUE) -> DataFrame:
+    """docs whose language can be told, learned from their own labels; columns as they were.
+
+    Null, empty and letterless texts go, and those of which every language's regression
+    says that they are another's. Very long texts are judged whole. Repeated rows stay
+    or go together. Without any label all go; an empty table stays empty.
+    """
+    names = tuple(cluster.fresh(docs.columns, x) for x in ("_lang_pred", "_score", "_value"))
+    out = predict(docs, fit(sample(docs, lang, text)), text, names)
+    return out.where((F.col(names[0]) != UNDETERMINED) & (F.col(names[2]) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def fold(doc_id: str, of: int) -> Column:
