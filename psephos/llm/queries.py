@@ -77,14 +77,14 @@ _REACH = "r AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM r JOIN links l
 def oracle_sql() -> dict[str, str]:
     """The queries that SQL can express, over whole tables; ids are taken to be unique."""
     decontamination = f"""
-    WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    WITH w AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
     i AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p:p + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM w WHERE len(w) > 0) x),
     d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     s AS (SELECT DISTINCT n FROM i),
     g AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, s WHERE len(w) >= n) x),
     h AS (SELECT doc_id, i.n, p, item_id FROM g JOIN i USING (n, g)),
     hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, n, p FROM h) y) z GROUP BY 1),
-    it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) y GROUP BY 1)
+    it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) y GROUP BY 1)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)"""
     jaccard = f"""
