@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterator
@@ -13,15 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel holds as one block; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that every executor sees: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine (tests)."""
     if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="psephos-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()
@@ -39,6 +42,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: idle workers stay for a while beside the next stages'."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """name, or it with underscores after it, so that no column of that name, in whatever case, is taken."""
+    lower = {x.lower() for x in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -59,6 +79,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
                 yield batch.slice(start, i - start), texts_of(column.slice(start, i - start))
                 start, held = i, 0
             held += n
+    give_back()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -83,6 +104,22 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
             last = key
     if held:
         yield pa.concat_tables(held)
+    give_back()
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """Runs of rows of equal key from a partition that is sorted by it."""
+    held: list[dict] = []
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            for row in batch.slice(i, 64).to_pylist():
+                if held and held[-1][key] != row[key]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+    give_back()
 
 
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -5,10 +5,11 @@ order is the global order. That order is cut into fragments, so a set is cut int
 fragments' parts, and the overlap of two sets is the sum of their overlaps in each
 fragment.
 
-Shared n-grams. Linked sets share at least t % of the larger one. So a set can only
-link if at least t % of its n-grams are in some other set too. Each fragment counts
-how many of each set's are, apart from the others, and the counts are summed for each
-set; most sets go no further.
+Shared n-grams. At most 100 - t % of a set's n-grams are missing from a set that it
+links with. So of the first part of the order, three times as large, at most that many
+of the set's n-grams can be its alone; sets with more go no further. Each fragment
+counts how many of each set's n-grams others have too, and the counts are summed for
+each set.
 
 Candidates. Sets a and b with 100 * |a & b| >= t * |a | b| differ in at most
 D = (|a| + |b|) * (100 - t) / (100 + t) elements. Cut in more than D fragments, they
@@ -18,7 +19,12 @@ pair it may link in can have. Sets that share an equal part of a fragment are
 candidates. Empty parts say nothing: each level has so many fragments more that equal
 parts can't all be empty, and a set that is still emptier gives its empty parts too.
 No pair can be missed. Parts meet as packed arrays, one shuffle, and each map task
-sends one set for each part, so that parts shared by very many sets stay light.
+sends one set for each part, so that parts shared by very many sets stay light. What a
+task finds to hang together leaves it as a forest: at most one edge for each set.
+
+Tasks. N-grams and parts are dealt to as many tasks as the session shuffles to, in
+pieces of bounded size that a task takes one after another; its counts and forests are
+sent once, or whenever they have reached a bounded size.
 
 Verification. Candidates are grouped by connectivity, and each group's sets are
 compared in one task, fragment by fragment: presence matrices give all partial
@@ -47,9 +53,13 @@ from psephos.llm.kernels import U, mix
 CHUNK_SETS, CHUNK_GRAMS = 512, 1_000_000
 #: Parts, or n-grams, that a map task holds before it sends them.
 HELD_PARTS = 1_000_000
-#: N-grams that meet in one task.
-TASK_GRAMS = 800_000
-#: Sets whose ids are broadcast to their texts, about 10 MB; beyond that both sides are shuffled.
+#: N-grams, or parts, of one piece that a task takes at a time.
+PIECE = 200_000
+#: Counts, or edges, that a task gathers before it sends them.
+GATHERED = 500_000
+#: The share of the n-gram order in which unshared n-grams are counted, as a multiple of the share that linked sets can lack.
+LOOKED_AT = 3
+#: Rows of ids, about 10 MB, that may be broadcast to their texts; beyond that both sides are shuffled, with the same result.
 BROADCAST_ROWS = 200_000
 #: N-grams of one fragment's presence matrix.
 FRAGMENT = 4096
@@ -79,9 +89,9 @@ def level(k: int, percent: int) -> tuple[int, int, int]:
 
 
 def vertex_of(grams: np.ndarray) -> int:
-    """Signed 64-bit identity of a set that is not empty."""
+    """Signed 64-bit identity of a set that is not empty; never 0."""
     with np.errstate(over="ignore"):
-        return int(mix(mix(grams).sum(dtype=U).reshape(1) + U(len(grams)) * U(kernels.BASE)).view(np.int64)[0])
+        return int(mix(mix(grams).sum(dtype=U).reshape(1) + U(len(grams)) * U(kernels.BASE)).view(np.int64)[0]) or 1
 
 
 def parts(grams: np.ndarray, percent: int) -> np.ndarray:
@@ -111,159 +121,217 @@ def parts(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=U)
 
 
-def digests(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, vertex) of docs' (doc_id, text); vertex is null for an empty set."""
+def looked_at(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The set's n-grams in the part of the order where unshared ones are counted; the set is sorted."""
+    share = LOOKED_AT * (100 - percent)
+    return grams if share >= 100 else grams[: np.searchsorted(grams, U(2**64 // 100 * share))]
+
+
+def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, looked_at, vertex) of docs' (doc_id, text); vertex is null for an empty set."""
+    names = ["doc_id", "text_hash", "n_shingles", "looked_at", "vertex"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches):
             sets = kernels.shingle_sets(texts, k)
             n = pa.array([len(s) for s in sets], type=pa.int64())
+            some = pa.array([len(looked_at(s, percent)) for s in sets], type=pa.int64())
             v = pa.array([vertex_of(s) if len(s) else None for s in sets], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n, v], names=["doc_id", "text_hash", "n_shingles", "vertex"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n, some, v], names=names)
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, looked_at long, vertex long")
+
+
+def forest(edges: np.ndarray) -> np.ndarray:
+    """(node, root) for every node but the roots of the edges' components; roots are the least nodes."""
+    ids, at = np.unique(edges, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    label = np.arange(len(ids))
+    while True:
+        a, b = label[u], label[v]
+        low = np.minimum(a, b)
+        lower = label.copy()
+        for ends in (u, v, a, b):
+            np.minimum.at(lower, ends, low)
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    below = label != np.arange(len(ids))
+    return np.stack((ids[below], ids[label[below]]), axis=1)
+
+
+def _summed(counts: np.ndarray) -> np.ndarray:
+    """Rows (vertex, count), one for each vertex."""
+    ids, at = np.unique(counts[:, 0], return_inverse=True)
+    return np.stack((ids, np.bincount(at, weights=counts[:, 1], minlength=len(ids)).astype(np.int64)), axis=1)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, vertex long")
+
+def _gathered(pieces: Iterator[np.ndarray], reduce, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pieces' rows of two numbers, reduced together, in batches of bounded size."""
+    held, n = [], 0
+
+    def send(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
+
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece)
+        if n > GATHERED:
+            held = [reduce(np.concatenate(held))]
+            n = len(held[0])
+            if n > GATHERED // 2:
+                yield send(held[0])
+                held, n = [], 0
+    if n:
+        yield send(reduce(np.concatenate(held)))
 
 
 def _star(parts_: np.ndarray, vertices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One vertex, the least, of each part; and edges from the part's other vertices to it."""
-    order = np.lexsort((vertices, parts_))
+    """Each part once, a vertex of it, and rows (vertex, least) that connect the vertices of a part; the vertex of a part is the least one connected."""
+    order = np.argsort(parts_, kind="stable")
     parts_, vertices = parts_[order], vertices[order]
     head = np.concatenate(([True], parts_[1:] != parts_[:-1])) if len(parts_) else np.zeros(0, dtype=bool)
-    center = vertices[head][np.cumsum(head) - 1] if len(parts_) else vertices
+    first = vertices[head]
+    center = first[np.cumsum(head) - 1] if len(parts_) else vertices
     apart = center != vertices
-    edges = np.unique(np.stack((vertices[apart], center[apart]), axis=1), axis=0)
-    return parts_[head], vertices[head], edges
+    edges = forest(np.stack((vertices[apart], center[apart]), axis=1))
+    at = np.minimum(np.searchsorted(edges[:, 0], first), max(0, len(edges) - 1))
+    if len(edges):
+        first = np.where(edges[at, 0] == first, edges[at, 1], first)
+    return parts_[head], first, edges
+
+
+def _pieces(partitions: int, n: int) -> int:
+    """The number of pieces that n n-grams are dealt to."""
+    return partitions * (4 + n // (partitions * PIECE))
+
+
+def _packed(bounds: np.ndarray, keys: np.ndarray, vertices: np.ndarray) -> Iterator[tuple[int, int, bytes, bytes, bytes]]:
+    """(piece, keys, vertices, which of them) of each piece that has keys."""
+    for i in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        own = slice(bounds[i], bounds[i + 1])
+        table, at = np.unique(vertices[own], return_inverse=True)
+        yield i, keys[own].tobytes(), table.tobytes(), at.astype("<u2" if len(table) <= 1 << 16 else "<u4").tobytes()
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(row["keys"], dtype=U)
+    at = np.frombuffer(row["at"], dtype="<u2" if len(row["at"]) == 2 * len(keys) else "<u4")
+    return keys, np.frombuffer(row["vertices"], dtype=np.int64)[at]
 
 
-def shared_grams(docs: DataFrame, k: int, partitions: int) -> DataFrame:
-    """(vertex, shared): how many of the set's n-grams other sets have too, or more; no row if none.
+PACKED, PACKED_NAMES = "pid int, keys binary, vertices binary, at binary, rest binary", ["pid", "keys", "vertices", "at", "rest"]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=PACKED_NAMES)
+
+
+def _dealt(keys: np.ndarray, deal: int) -> np.ndarray:
+    """Where each piece begins among sorted keys, which are spread evenly."""
+    return np.searchsorted(((keys >> U(32)) * U(deal)) >> U(32), np.arange(deal + 1, dtype=U))
+
+
+def shared_grams(docs: DataFrame, k: int, percent: int, partitions: int, n: int) -> DataFrame:
+    """(vertex, shared): how many of the set's n-grams that are looked at other sets have too, or more; no row if none.
 
     A map task sends each n-gram once: one that several of its sets have is counted for
-    them at once and sent without a set.
+    them at once and sent with vertex 0, which says so. n is about the number of n-grams.
     """
-    deal = 4 * partitions
+    deal = _pieces(partitions, n)
 
-    def tally(grams: np.ndarray, at: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct n-grams, a set of each (-1 where counted), and of all rows the sets that are counted now."""
+    def send(sets: list[np.ndarray], vertices: list[int]) -> Iterator[pa.RecordBatch]:
+        if not sets:
+            return
+        grams, at = mix(np.concatenate(sets)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(grams, kind="stable")
         grams, at = grams[order], at[order]
         head = np.concatenate(([True], grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, dtype=bool)
         group = np.cumsum(head) - 1
         several = np.bincount(group, minlength=int(head.sum())) > 1
-        met = several[group] & (at >= 0)
-        one = at[head].copy()
-        one[several] = -1
-        return grams[head], one, at[met]
-
-    def send(sets: list[np.ndarray], vertices: list[int]) -> Iterator[pa.RecordBatch]:
-        if not sets:
-            return
-        grams, one, counted = tally(np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int64), [len(s) for s in sets]))
         v = np.array(vertices, dtype=np.int64)
-        bounds = np.searchsorted(((grams >> U(32)) * U(deal)) >> U(32), np.arange(deal + 1, dtype=U))
-        rows = []
-        for i in range(deal):
-            if bounds[i] < bounds[i + 1]:
-                own = slice(bounds[i], bounds[i + 1])
-                table, at = np.unique(one[own], return_inverse=True)
-                ids = np.where(table >= 0, v[table], 0)
-                none = int((table < 0).sum())  # -1 is first, if it is there
-                rows.append((i, none, grams[own].tobytes(), ids.tobytes(), at.astype("<u2" if len(table) <= 1 << 16 else "<u4").tobytes(), b""))
-        n = np.bincount(counted, minlength=len(v))
-        rows.append((0, 0, b"", b"", b"", np.stack((v, n), axis=1)[n > 0].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], names=["pid", "none", "grams", "vertices", "at", "counted"])
+        counted = np.bincount(at[several[group]], minlength=len(v))
+        one = np.where(several, 0, v[at[head]]) if len(grams) else np.zeros(0, dtype=np.int64)
+        rows = [(*r, b"") for r in _packed(_dealt(grams[head], deal), grams[head], one)]
+        rows.append((int(mix(v[:1].astype(U))[0] % U(deal)), b"", b"", b"", np.stack((v, counted), axis=1)[counted > 0].tobytes()))
+        yield _rows(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list[np.ndarray] = []
         vertices: list[int] = []
         seen: set[int] = set()
-        n = 0
+        held = 0
         for _, texts in cluster.blocks(batches):
             for s in kernels.shingle_sets(texts, k):
                 if len(s) and (v := vertex_of(s)) not in seen:
                     seen.add(v)
-                    sets.append(s)
+                    sets.append(looked_at(s, percent))
                     vertices.append(v)
-                    n += len(s)
-            if n >= HELD_PARTS:
+                    held += len(sets[-1])
+            if held >= HELD_PARTS:
                 yield from send(sets, vertices)
-                sets, vertices, n = [], [], 0
+                sets, vertices, held, seen = [], [], 0, set()
         yield from send(sets, vertices)
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for run in cluster.runs(batches, "pid"):
+            both = [_unpacked(row) for row in run]
+            g, v = (np.concatenate(c) for c in zip(*both))
+            order = np.argsort(g, kind="stable")
+            g, v = g[order], v[order]
+            head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, dtype=bool)
+            group = np.cumsum(head) - 1
+            # a set's own copies in other tasks are not other sets, unless it was counted there
+            apart = np.bincount(group, weights=(v != v[head][group]) | (v == 0), minlength=int(head.sum())) > 0
+            met = v[apart[group] & (v != 0)]
+            # copies in several tasks each count: more than is so, never less
+            yield _summed(np.concatenate([np.stack((met, np.ones_like(met)), axis=1), *(np.frombuffer(row["rest"], dtype=np.int64).reshape(-1, 2) for row in run)]))
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, vertices, none, done = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)], [np.zeros((0, 2), dtype=np.int64)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                grams.append(np.frombuffer(row["grams"], dtype=U))
-                at = np.frombuffer(row["at"], dtype="<u2" if len(row["at"]) == 2 * len(grams[-1]) else "<u4")
-                vertices.append(np.frombuffer(row["vertices"], dtype=np.int64)[at])
-                none.append(at < row["none"])
-                done.append(np.frombuffer(row["counted"], dtype=np.int64).reshape(-1, 2))
-        g, v, no = np.concatenate(grams), np.concatenate(vertices), np.concatenate(none)
-        order = np.argsort(g, kind="stable")
-        g, v, no = g[order], v[order], no[order]
-        head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, dtype=bool)
-        group = np.cumsum(head) - 1
-        # a set's own copies in other tasks are not other sets
-        apart = np.bincount(group, weights=v != v[head][group]) > 0 if len(g) else np.zeros(0, dtype=bool)
-        apart |= np.bincount(group, weights=no, minlength=len(apart)) > 0
-        # copies in several tasks each count: more than is so, never less
-        ids, n = np.unique(v[apart[group] & ~no], return_counts=True)
-        done.append(np.stack((ids, n), axis=1))
-        all_ = np.concatenate(done)
-        yield pa.RecordBatch.from_arrays([pa.array(all_[:, 0]), pa.array(all_[:, 1])], names=["vertex", "shared"])
+        yield from _gathered(counts(batches), _summed, ["vertex", "shared"])
 
-    packed = docs.select("text").mapInArrow(cut, "pid int, none int, grams binary, vertices binary, at binary, counted binary")
-    return packed.repartition(partitions, "pid").mapInArrow(meet, "vertex long, shared long").groupBy("vertex").agg(F.sum("shared").alias("shared"))
+    packed = docs.select("text").mapInArrow(cut, PACKED).repartition(partitions, "pid").sortWithinPartitions("pid")
+    return packed.mapInArrow(meet, "vertex long, shared long").groupBy("vertex").agg(F.sum("shared").alias("shared"))
 
 
-def candidates(sets: DataFrame, percent: int, partitions: int) -> DataFrame:
-    """(u, v) edges between vertices; every linked pair is connected by them, through pairs that share a part."""
-    packed = "pid int, parts binary, vertices binary, at binary, edges binary"
-    deal = 4 * partitions
+def candidates(sets: DataFrame, percent: int, partitions: int, n: int) -> DataFrame:
+    """(u, v) edges between vertices; every linked pair is connected by them, through pairs that share a part. n is about the number of n-grams."""
+    deal = _pieces(partitions, n)
 
     def send(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         p, v, edges = _star(np.concatenate([x for x, _ in held]), np.repeat(np.array([y for _, y in held], dtype=np.int64), [len(x) for x, _ in held]))
-        pid = ((p >> U(32)) * U(deal)) >> U(32)  # parts are sorted, so are these
-        bounds = np.searchsorted(pid, np.arange(deal + 1, dtype=U))
-        rows = []
-        for i in range(deal):
-            own = slice(bounds[i], bounds[i + 1])
-            if bounds[i] < bounds[i + 1]:
-                table, at = np.unique(v[own], return_inverse=True)
-                rows.append((i, p[own].tobytes(), table.tobytes(), at.astype("<u2" if len(table) <= 1 << 16 else "<u4").tobytes(), b""))
+        rows = [(*r, b"") for r in _packed(_dealt(p, deal), p, v)]
         if len(edges):
-            rows.append((int(pid[0]), b"", b"", b"", edges.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["pid", "parts", "vertices", "at", "edges"])
+            rows.append((int(mix(edges[:1, 0].astype(U))[0] % U(deal)), b"", b"", b"", edges.tobytes()))
+        yield _rows(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
-        n = 0
+        some = 0
         for batch in batches:
             for v, grams in zip(batch.column("vertex").to_pylist(), batch.column("grams")):
                 if len(p := parts(np.frombuffer(grams.as_buffer(), dtype=U), percent)):
                     held.append((p, v))
-                    n += len(p)
-                if n >= HELD_PARTS:
+                    some += len(p)
+                if some >= HELD_PARTS:
                     yield from send(held)
-                    held, n = [], 0
+                    held, some = [], 0
         yield from send(held)
+        cluster.give_back()
+
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for run in cluster.runs(batches, "pid"):
+            p, v = (np.concatenate(c) for c in zip(*(_unpacked(row) for row in run)))
+            yield np.concatenate([_star(p, v)[2], *(np.frombuffer(row["rest"], dtype=np.int64).reshape(-1, 2) for row in run)])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v, edges = [np.zeros(0, dtype=U)], [np.zeros(0, dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)]
-        for batch in batches:
-            for row in batch.to_pylist():
-                p.append(np.frombuffer(row["parts"], dtype=U))
-                narrow = len(row["at"]) == 2 * len(p[-1])
-                v.append(np.frombuffer(row["vertices"], dtype=np.int64)[np.frombuffer(row["at"], dtype="<u2" if narrow else "<u4")])
-                edges.append(np.frombuffer(row["edges"], dtype=np.int64).reshape(-1, 2))
-        edges.append(_star(np.concatenate(p), np.concatenate(v))[2])
-        both = np.unique(np.concatenate(edges), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+        yield from _gathered(forests(batches), forest, ["u", "v"])
 
-    return sets.select("vertex", "grams").mapInArrow(cut, packed).repartition(partitions, "pid").mapInArrow(meet, "u long, v long")
+    packed = sets.select("vertex", "grams").mapInArrow(cut, PACKED).repartition(partitions, "pid").sortWithinPartitions("pid")
+    return packed.mapInArrow(meet, "u long, v long")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -338,35 +406,40 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    digest = cluster.cut(digests(docs, k))
+    digest = cluster.cut(digests(docs, k, percent))
     grams = digest.agg(F.sum("n_shingles")).first()[0] or 0
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), grams // TASK_GRAMS + 1)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = digest.where("doc_id is not null and vertex is not null")
-    vertices = known.groupBy("vertex").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    shared = cluster.cut(shared_grams(docs.where("doc_id is not null"), k, partitions))
+    vertices = known.groupBy("vertex").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("looked_at").alias("looked_at"))
+    shared = cluster.cut(shared_grams(docs.where("doc_id is not null"), k, percent, partitions, grams))
     cluster.release(spark)
-    able = vertices.join(shared, "vertex").where(F.col("shared") * 100 >= F.col("n") * percent)
+    # sets that can link with a larger one, and whose unshared n-grams are few enough
+    able = vertices.where(F.col("n") * (100 - percent) >= percent).join(shared, "vertex", "left")
+    able = able.where(F.col("looked_at") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
     wanted = cluster.cut(able.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "vertex", "copies", "n"))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # repeated rows come to one task
         names = ["vertex", "copies", "n"]
+        last: set[int] = set()  # of the block before, so that repeated rows are rarely cut again
         for batch, texts in cluster.blocks(batches):
+            now: set[int] = set()
             fresh = []
             for i, v in enumerate(batch.column("vertex").to_pylist()):
-                if v not in seen:
-                    seen.add(v)
+                if v not in last and v not in now:
                     fresh.append(i)
+                now.add(v)
+            last = now
             if fresh:
                 sets = kernels.shingle_sets([texts[i] for i in fresh], k)
-                own = batch.take(pa.array(fresh))
-                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=[*names, "grams"])
+                rows = batch.take(pa.array(fresh))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=[*names, "grams"])
 
     tagged = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
     side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    kept = cluster.cut(tagged.join(side, ["doc_id", "text_hash"]).select("text", "vertex", "copies", "n").mapInArrow(cut_sets, "vertex long, copies long, n long, grams binary"))
+    kept = tagged.join(side, ["doc_id", "text_hash"]).select("text", "vertex", "copies", "n").mapInArrow(cut_sets, "vertex long, copies long, n long, grams binary")
+    kept = cluster.cut(kept.dropDuplicates(["vertex"]))  # repeated rows may stand in many tasks
     cluster.release(spark)
-    group = cluster.components(candidates(kept, percent, partitions)).select(F.col("node").alias("vertex"), F.col("root").alias("comp"))
+    group = cluster.components(candidates(kept, percent, partitions, grams)).select(F.col("node").alias("vertex"), F.col("root").alias("comp"))
     members = cluster.cut(group.join(kept.select("vertex", "n"), "vertex"))
     sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     sets = kept.join(members.join(sizes, "comp").select("vertex", "comp", "chunks"), "vertex")
@@ -394,16 +467,18 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
 def keep_one(docs: DataFrame, *, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one of the smallest doc_id; repeated rows of it become one.
 
-    Documents without words, or without a doc_id, all stay. Of rows that share a doc_id but not a text,
-    the first by text stays.
+    Documents without words, or without a doc_id, all stay, and so do null and empty
+    texts. Of rows that share a doc_id but not a text, the first by text stays. Very long
+    texts are compared whole; an empty table stays empty.
     """
+    gone_, again_, id_, row_ = (cluster.fresh(docs.columns, x) for x in ("_gone", "_again", "_id", "_row"))
     joined = cluster.cut(join(docs, k=k, percent=percent, text=text, doc_id=doc_id).where("n_links > 0"))
-    gone = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
-    again = cluster.cut(joined.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    gone = joined.where("component_id <> doc_id").select(F.col("doc_id").alias(gone_)).distinct()
+    left = docs.join(gone, F.col(doc_id) == F.col(gone_), "left_anti")
+    again = cluster.cut(joined.where("component_id = doc_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(again_)))
     if not again.head(1):
         return left
     ordered = [text, *(c for c in docs.columns if c != text)]
-    one = left.join(again, F.col(doc_id) == F.col("_again"), "left_semi")
-    one = one.groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in ordered])).alias("_row")).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
-    return left.join(again, F.col(doc_id) == F.col("_again"), "left_anti").unionByName(one)
+    one = left.join(again, F.col(doc_id) == F.col(again_), "left_semi")
+    one = one.groupBy(F.col(doc_id).alias(id_)).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in ordered])).alias(row_)).select(*[F.col(f"{row_}.`{c}`") for c in docs.columns])
+    return left.join(again, F.col(doc_id) == F.col(again_), "left_anti").unionByName(one)

@@ -190,7 +190,7 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(partitions, total // 100_000_000 + 1)
-    deal = 4 * partitions
+    deal = 4 * partitions  # pieces, which a task takes one after another
     texts = docs.where(F.octet_length("text") >= least).select("text", F.xxhash64("text").alias("key"))
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -217,20 +217,16 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
         yield from send(held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, gone = [np.zeros(0, dtype=ROW)], [np.zeros((0, 4), dtype=np.int64)]
-        for batch in batches:
-            for x in batch.to_pylist():
-                rows.append(np.frombuffer(x["rows"], dtype=ROW))
-                gone.append(np.frombuffer(x["gone"], dtype=np.int64).reshape(-1, 4))
-        one, settled, other = settle(np.concatenate(rows))
-        one = one[other]
-        gone = np.concatenate([*gone, settled])
         names = ["kh", "key", "n", "start", "stop", "a", "many"]
-        a = one["a"].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one["kh"].astype(np.int64), one["key"], one["n"].astype(np.int64), a - one["left"], a + one["right"], a, one["many"].astype(bool))], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([None] * len(gone), type=pa.int64()), *(pa.array(gone[:, i]) for i in range(4)), pa.array(gone[:, 2]), pa.array([True] * len(gone), type=pa.bool_())], names=names)
-
-    packed = texts.mapInArrow(find, "pid int, rows binary, gone binary").repartition(partitions, "pid")
+        for run in cluster.runs(batches, "pid"):
+            one, settled, other = settle(np.concatenate([np.frombuffer(x["rows"], dtype=ROW) for x in run]))
+            one = one[other]
+            gone = np.concatenate([settled, *(np.frombuffer(x["gone"], dtype=np.int64).reshape(-1, 4) for x in run)])
+            a = one["a"].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one["kh"].astype(np.int64), one["key"], one["n"].astype(np.int64), a - one["left"], a + one["right"], a, one["many"].astype(bool))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([None] * len(gone), type=pa.int64()), *(pa.array(gone[:, i]) for i in range(4)), pa.array(gone[:, 2]), pa.array([True] * len(gone), type=pa.bool_())], names=names)
+
+    packed = texts.mapInArrow(find, "pid int, rows binary, gone binary").repartition(partitions, "pid").sortWithinPartitions("pid")
     met = cluster.cut(packed.mapInArrow(meet, "kh long, key long, n long, start long, stop long, a long, many boolean"))
     del packed
     cluster.release(spark)
@@ -312,13 +308,13 @@ def spans(docs: DataFrame, least: int = LEAST, k: int = ANCHOR) -> DataFrame:
     return out
 
 
-def with_spans(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
-    """docs and __spans: the sorted bytes from and to that go; null where nothing does."""
+def with_spans(docs: DataFrame, least: int = LEAST, text: str = "text") -> tuple[DataFrame, str]:
+    """docs and a column, whose name is given too: the sorted bytes from and to that go; null where nothing does."""
+    key, n, own = (cluster.fresh(docs.columns, x) for x in ("__key", "__n", "__spans"))
     texts = docs.select(F.col(text).alias("text"))
-    merged = cluster.cut(spans(texts, least).groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__spans")))
-    tagged = docs.withColumn("__key", F.xxhash64(text)).withColumn("__n", F.octet_length(text).cast("long"))
-    merged = merged.withColumnsRenamed({"key": "__key", "n": "__n"})
-    return tagged.join(merged, ["__key", "__n"], "left").drop("__key", "__n")
+    merged = cluster.cut(spans(texts, least).groupBy("key", "n").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(own)))
+    tagged = docs.withColumn(key, F.xxhash64(text)).withColumn(n, F.octet_length(text).cast("long"))
+    return tagged.join(merged.withColumnsRenamed({"key": key, "n": n}), [key, n], "left").drop(key, n), own
 
 
 def _cut(text: bytes, own: list[dict] | None) -> tuple[bytes, int, int]:
@@ -346,12 +342,12 @@ def digest(docs: DataFrame, least: int = LEAST, *, text: str = "text", doc_id: s
     empty. Repeated rows repeat each other, so they go as a whole from `least` bytes on.
     doc_ids may be null or repeated; other columns are ignored.
     """
-    own = with_spans(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), least)
+    own, spans_ = with_spans(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), least)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches):
-            cuts = [_cut(t, s) for t, s in zip(texts, batch.column("__spans").to_pylist())]
+            cuts = [_cut(t, s) for t, s in zip(texts, batch.column(spans_).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(c, type=pa.int64()) for c in ([len(t) for t in texts], [c[1] for c in cuts], [c[2] for c in cuts])), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cuts])],
                 names=names,
@@ -361,14 +357,19 @@ def digest(docs: DataFrame, least: int = LEAST, *, text: str = "text", doc_id: s
 
 
 def remove(docs: DataFrame, least: int = LEAST, *, text: str = "text") -> DataFrame:
-    """docs with what repeats cut out of the text, columns as they were; a character that a cut parts goes. Null texts stay null."""
-    own = with_spans(docs, least, text)
+    """docs with what repeats cut out of the text, columns as they were; a character that a cut parts goes.
+
+    Null texts stay null, texts of fewer than `least` bytes as they are, and a text that
+    repeats as a whole becomes empty, repeated rows too. Very long texts are taken
+    whole. Other columns are passed on, whatever their names.
+    """
+    own, spans_ = with_spans(docs, least, text)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches, text):
             was = batch.column(text).is_valid().to_pylist()
-            kept = [_cut(t, s)[0].decode("utf-8", "ignore") if v else None for t, s, v in zip(texts, batch.column("__spans").to_pylist(), was)]
+            kept = [_cut(t, s)[0].decode("utf-8", "ignore") if v else None for t, s, v in zip(texts, batch.column(spans_).to_pylist(), was)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, type=pa.string()) if c == text else batch.column(c) for c in columns], names=columns)
 
     return own.mapInArrow(run, docs.schema)

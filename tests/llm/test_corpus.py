@@ -78,6 +78,31 @@ def test_jaccard_join(spark, corpus, monkeypatch, k, percent, chunk):
     assert [(got[i].n_shingles, got[i].component_id, got[i].n_links) for i in range(len(corpus))] == [(len(s), root[i], links[i]) for i, s in enumerate(sets)]
 
 
+def test_jaccard_join_of_one_row_in_many_partitions(spark, corpus):
+    texts = [corpus[7], corpus[7] + " more", *corpus[20:24]]
+    _, root, links = brute_links([*texts, *texts[:1] * 160], 3, 90)
+    docs = make(spark, texts)
+    many = docs.unionByName(spark.range(160).repartition(40).crossJoin(docs.where("doc_id = 0")).select(*docs.columns))
+    got = {(r.doc_id, r.component_id, r.n_links) for r in jaccard_join.join(many, k=3, percent=90).collect()}
+    assert got == {(i, root[i], links[i]) for i in range(len(texts))}
+
+
+def test_jaccard_tasks_send_bounded_batches(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "GATHERED", 20)
+    monkeypatch.setattr(jaccard_join, "HELD_PARTS", 300)
+    monkeypatch.setattr(jaccard_join, "PIECE", 50)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    _, root, links = brute_links(corpus, 3, 80)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.join(make(spark, corpus), k=3, percent=80).collect()}
+    assert [got[i] for i in range(len(corpus))] == [(root[i], links[i]) for i in range(len(corpus))]
+
+
+def test_forest():
+    edges = np.array([(5, 4), (4, 3), (9, 8), (3, 2), (8, 7), (7, 7), (20, 2)])
+    assert sorted(map(tuple, jaccard_join.forest(edges).tolist())) == [(3, 2), (4, 2), (5, 2), (8, 7), (9, 7), (20, 2)]
+    assert len(jaccard_join.forest(edges[:0])) == 0
+
+
 def test_every_linked_pair_shares_a_part():
     rng = np.random.default_rng(1)
     for percent in (80, 90):
@@ -124,7 +149,7 @@ def test_suffix_dedup(spark, corpus, monkeypatch, group):
 
 
 def test_suffix_remove_keeps_columns_and_nulls(spark, corpus):
-    docs = make(spark, corpus).withColumn("key", F.lit(1)).withColumn("n", F.lit(2))
+    docs = make(spark, corpus).withColumn("key", F.lit(1)).withColumn("n", F.lit(2)).withColumn("__key", F.lit(3)).withColumn("__N", F.lit(4)).withColumn("__spans", F.lit(5))
     out = suffix_dedup.remove(docs)
     assert out.columns == docs.columns
     texts = {r.doc_id: r.text for r in out.collect()}
@@ -137,17 +162,19 @@ def test_intervals_are_those_of_the_array():
     assert sorted(suffix_dedup.intervals(lcp)) == [(1, 0, 2), (2, 4, 5), (3, 1, 2)]
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("size", [400_000, 100])
+def test_decontamination(spark, monkeypatch, size):
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", size)
     rng = random.Random(2)
-    items = [(0, prose(rng, 30)), (7, prose(rng, 12)), (10, "Short one"), (3, ""), (4, None), (None, "w1 w2"), (8, prose(rng, 30))]
-    docs = [None, "", "...", items[0][1].upper(), f"a {items[1][1]} b {items[0][1][40:160]} c", "x SHORT... one; short oney", prose(rng, 300), "shorté one"]
+    items = [(0, prose(rng, 30)), (7, prose(rng, 12)), (10, "Short one"), (3, ""), (4, None), (None, "no identity"), (8, prose(rng, 30))]
+    docs = [None, "", "...", items[0][1].upper(), f"a {items[1][1]} b {items[0][1][40:160]} c", "x SHORT... one; short oney", prose(rng, 300), "shorté one", "it has no-identity, nor", f"{items[0][1]} {items[6][1]}"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in decontam.digest(decontam.scan(make(spark, docs), bench)).collect()}
     windows = {}
     for item, text in items:
         w = WORDS.findall(low(text))
-        for i in range(max(1, len(w) - 9) if w and item is not None else 0):
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(item)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i : i + 10]), set()).update([item] if item is not None else [])
     for i, text in enumerate(docs):
         w = WORDS.findall(low(text))
         hit, found = set(), set()
@@ -341,6 +368,19 @@ def test_language_id(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(11)
+    words = {f"l{i}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 6))) for _ in range(12)] for i in range(70)}
+    rows = [(i * 100 + j, " ".join(rng.choices(words[lang], k=30)), lang, 7.5, "own") for i, lang in enumerate(words) for j in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _score double, _lang_pred string")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert {r.lang_pred for r in got.values()} == set(words)
+    assert sum(got[r[0]].lang_pred == r[2] for r in rows if got[r[0]].held_out) >= 0.95 * sum(r.held_out for r in got.values())
+    junk = spark.createDataFrame([(9000, "привет как дела", None, 7.5, "own")], df.schema)
+    kept = langid.known(df.unionByName(junk)).collect()
+    assert 9000 not in {r.doc_id for r in kept} and len(kept) >= 0.99 * len(rows) and {(r._score, r._lang_pred) for r in kept} == {(7.5, "own")}
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     bad = ["idiot", "moron", "worthless"]
