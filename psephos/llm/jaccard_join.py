@@ -5,11 +5,12 @@ order is the global order. That order is cut into fragments, so a set is cut int
 fragments' parts, and the overlap of two sets is the sum of their overlaps in each
 fragment.
 
-Shared n-grams. At most 100 - t % of a set's n-grams are missing from a set that it
-links with. So of the first part of the order, three times as large, at most that many
-of the set's n-grams can be its alone; sets with more go no further. Each fragment
-counts how many of each set's n-grams others have too, and the counts are summed for
-each set.
+Shared n-grams. At most 100 - t % of a set's n-grams, e of them, are missing from a
+set that it links with. So of the m n-grams in a part of the order that is about 3 e
+long, at most e can be the set's alone; sets with more go no further. Each task knows
+how many of a set's n-grams that it met are shared and how many are not. It sends the
+excess of the shared ones, and nothing for a set most of whose n-grams there are its
+alone. A set that can link has an excess of at least m - 2 e in sum.
 
 Candidates. Sets a and b with 100 * |a & b| >= t * |a | b| differ in at most
 D = (|a| + |b|) * (100 - t) / (100 + t) elements. Cut in more than D fragments, they
@@ -167,11 +168,12 @@ def _summed(counts: np.ndarray) -> np.ndarray:
     return np.stack((ids, np.bincount(at, weights=counts[:, 1], minlength=len(ids)).astype(np.int64)), axis=1)
 
 
-def _gathered(pieces: Iterator[np.ndarray], reduce, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The pieces' rows of two numbers, reduced together, in batches of bounded size."""
+def _gathered(pieces: Iterator[np.ndarray], reduce, names: list[str], positive: bool = False) -> Iterator[pa.RecordBatch]:
+    """The pieces' rows of two numbers, reduced together, in batches of bounded size; if positive, only those whose second number is."""
     held, n = [], 0
 
     def send(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[rows[:, 1] > 0] if positive else rows
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
 
     for piece in pieces:
@@ -234,7 +236,7 @@ def _dealt(keys: np.ndarray, deal: int) -> np.ndarray:
 
 
 def shared_grams(docs: DataFrame, k: int, percent: int, partitions: int, n: int) -> DataFrame:
-    """(vertex, shared): how many of the set's n-grams that are looked at other sets have too, or more; no row if none.
+    """(vertex, excess): by how much the set's n-grams that are looked at and that other sets have too exceed those that none has, or more; no row if not.
 
     A map task sends each n-gram once: one that several of its sets have is counted for
     them at once and sent with vertex 0, which says so. n is about the number of n-grams.
@@ -284,15 +286,16 @@ def shared_grams(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
             group = np.cumsum(head) - 1
             # a set's own copies in other tasks are not other sets, unless it was counted there
             apart = np.bincount(group, weights=(v != v[head][group]) | (v == 0), minlength=int(head.sum())) > 0
-            met = v[apart[group] & (v != 0)]
-            # copies in several tasks each count: more than is so, never less
-            yield _summed(np.concatenate([np.stack((met, np.ones_like(met)), axis=1), *(np.frombuffer(row["rest"], dtype=np.int64).reshape(-1, 2) for row in run)]))
+            one = v != 0
+            net = np.stack((v[one], np.where(apart[group][one], 1, -1)), axis=1)
+            # a set's copies in several tasks each count, which can only add to what a set that links has
+            yield _summed(np.concatenate([net, *(np.frombuffer(row["rest"], dtype=np.int64).reshape(-1, 2) for row in run)]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(counts(batches), _summed, ["vertex", "shared"])
+        yield from _gathered(counts(batches), _summed, ["vertex", "excess"], positive=True)
 
     packed = docs.select("text").mapInArrow(cut, PACKED).repartition(partitions, "pid").sortWithinPartitions("pid")
-    return packed.mapInArrow(meet, "vertex long, shared long").groupBy("vertex").agg(F.sum("shared").alias("shared"))
+    return packed.mapInArrow(meet, "vertex long, excess long").groupBy("vertex").agg(F.sum("excess").alias("excess"))
 
 
 def candidates(sets: DataFrame, percent: int, partitions: int, n: int) -> DataFrame:
@@ -415,7 +418,7 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
     cluster.release(spark)
     # sets that can link with a larger one, and whose unshared n-grams are few enough
     able = vertices.where(F.col("n") * (100 - percent) >= percent).join(shared, "vertex", "left")
-    able = able.where(F.col("looked_at") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") * (100 - percent) / 100))
+    able = able.where(F.coalesce("excess", F.lit(0)) >= F.col("looked_at") - 2 * F.floor(F.col("n") * (100 - percent) / 100))
     wanted = cluster.cut(able.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "vertex", "copies", "n"))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
