@@ -3,10 +3,14 @@
 A word's vector is the mean of those of its character n-grams (3 to 5 bytes with a
 mark at either end) and of the word itself, all hashed into one table, so a
 misspelling that was never seen shares most of its vector with the word it spells. A
-passage of 24 words is the mean of its words; half of it overlaps the next. The
+passage of six words is the mean of its words; half of it overlaps the next. The
 document's score is its most toxic passage's, so that a few words weigh as much in a
 long text as in a short one. Labels are of documents: in training, a toxic document
-is held to its most toxic passage, a clean one to its most toxic ones.
+is held to its most toxic passage, a clean one to its most toxic ones and to others
+drawn at random. A toxic document counts the less the less the model finds in it, as
+some hold nothing that tells. A table row's step is the smaller the more texts it is in,
+so that common n-grams don't drown rare telling ones, and rows in too few texts are
+not learned at all, so that no text is learned by heart.
 
 Everything between a table row and the two scores is linear. The trained model is
 hence folded into one number for each table row, and scoring is a lookup.
@@ -28,11 +32,17 @@ from psephos.llm.langid import fold
 
 #: The bounded sample of labelled rows that is learned from: clean and toxic texts, and bytes of a text at most.
 PER_LABEL, SAMPLE_BYTES = (6000, 2000), 6_144
-BITS, WIDTH, HALF = 20, 8, 12
-#: Passages, and words' features, that training takes at a time.
-PASSAGES, FEATURES = 10_000, 500_000
-#: STEADY keeps Adam's step in proportion to the gradient for features of few passages, which would else be learned by heart.
-EPOCHS, WARM, RATE, STEADY, SEED = 100, 4, 0.6, 1e-4, 6
+BITS, WIDTH, HALF = 20, 8, 3
+#: Passages that training takes at a time.
+PASSAGES = 50_000
+#: Momentum descent; after WARM epochs in which all passages count.
+EPOCHS, WARM, RATE, MOMENTUM, SEED = 50, 4, 1000.0, 0.9, 6
+#: A row's step is RATE over the number of its texts to this power; rows in fewer than FEWEST are not learned.
+POWER, FEWEST = 0.7, 3
+#: Of a clean text, its most toxic passages, how much they weigh, and about how many others are drawn.
+HARD, WEIGHT, DRAWN = 4, 3.0, 8
+#: What a toxic text counts at least.
+FLOOR = 0.2
 THRESHOLD = 0.3
 
 
@@ -108,18 +118,31 @@ class Model:
     table: np.ndarray  # log odds that a feature adds
     bias: float
 
+    constant: bool = False  # one score for all texts
+
     def scores(self, docs: list[bytes]) -> np.ndarray:
+        if self.constant:
+            return np.full(len(docs), self.bias)
         values, words, first = word_values(docs, self.table)
         best = best_passage(values, words, first, len(docs))
         return 1 / (1 + np.exp(-np.clip(np.where(np.isinf(best), -30, best + self.bias), -30, 30)))
 
 
+def _moved(value: np.ndarray, velocity: np.ndarray, step: np.ndarray) -> None:
+    velocity *= MOMENTUM
+    velocity -= step
+    value += velocity
+
+
 def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
-    """Trains embeddings and softmax together, by Adam over the passages that count in each epoch."""
+    """Trains embeddings and softmax together over the passages that count in each epoch.
+
+    Without texts of both labels every text gets one score, the share of toxic ones, 0 if there are none.
+    """
     rng = np.random.default_rng(SEED)
     y = np.array(toxic, dtype=np.int64)
     if not (0 < y.sum() < len(y)):
-        return Model(np.zeros(1 << BITS), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+        return Model(np.zeros(1), float(y.mean()) if len(y) else 0.0, True)
     known: dict[int, bytes] = {}
     hashes, sizes = [], []
     for i in range(0, len(texts), 100):
@@ -132,6 +155,8 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
             if h not in known:
                 known[h] = bytes(data[starts[j] : ends[j]])
     hashes, sizes = np.concatenate(hashes), np.concatenate(sizes)
+    if not len(hashes):
+        return Model(np.zeros(1), float(y.mean()), True)
     first = np.cumsum(sizes) - sizes
     distinct = np.unique(hashes)
     of = np.searchsorted(distinct, hashes).astype(np.int32)
@@ -151,67 +176,60 @@ def fit(texts: list[bytes], toxic: list[int], epochs: int = EPOCHS) -> Model:
     row = np.searchsorted(used, row).astype(np.int32)
     size = len(used)
     begin = np.searchsorted(word, np.arange(len(distinct) + 1))
-    k = np.diff(begin)
-    del grams, word, order
+    k = np.diff(begin).astype(np.float32)
+    del grams, order
+    in_texts = np.unique(of.astype(np.int64) * len(texts) + np.repeat(np.arange(len(texts)), sizes)) // len(texts)
+    texts_of = np.bincount(row, weights=np.bincount(in_texts, minlength=len(distinct))[word], minlength=size)
+    step = (RATE * (texts_of >= FEWEST) / np.power(texts_of + 1, POWER)).astype(np.float32)
+    del in_texts, texts_of
     half_at, half_size, half_doc = passages(first, len(hashes))
     fresh = (~again(hashes, half_size)).astype(np.float32)
     nxt = np.append(half_doc[1:] == half_doc[:-1], False)
     count = half_size.copy()
     count[nxt] += half_size[1:][nxt[:-1]]
+    own_passages = np.bincount(half_doc, minlength=len(y))
     del hashes
 
-    e = rng.uniform(-0.01, 0.01, (size, WIDTH)).astype(np.float32)
-    w = rng.uniform(-1, 1, (WIDTH, 2)).astype(np.float32)
+    e = rng.uniform(-1e-3, 1e-3, (WIDTH, size)).astype(np.float32) * (step > 0)
+    w = rng.normal(0, 1, (WIDTH, 2)).astype(np.float32)
+    w /= np.linalg.norm(w[:, 1] - w[:, 0])
     bias = np.zeros(2, dtype=np.float32)
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, bias)]
+    velocity = [np.zeros_like(x) for x in (e, w, bias)]
     for epoch in range(epochs):
-        vector = np.stack([np.add.reduceat(e[:, d][row], begin[:-1]) for d in range(WIDTH)], axis=1) / k[:, None].astype(np.float32)
+        vector = np.stack([np.add.reduceat(own[row], begin[:-1]) for own in e], axis=1) / k[:, None]
         value = vector @ (w[:, 1] - w[:, 0])
         halves = np.add.reduceat(value[of].astype(np.float64) * fresh, half_at)
         total = halves.copy()
         total[nxt] += halves[1:][nxt[:-1]]
         mean = total / count
         order = np.lexsort((-mean, half_doc))
-        rank = np.arange(len(order)) - np.searchsorted(half_doc[order], half_doc[order])
-        # at first all passages of a toxic text count, as long as the model can't tell them apart
-        take = order[rank < np.where(y[half_doc[order]] == 1, 1 if epoch >= WARM else 10**9, 4)]
-        weight = [0.5 / max(1, (y[half_doc[take]] == c).sum()) for c in (0, 1)]
-        grad_w, grad_bias = np.zeros_like(w), np.zeros_like(bias)
-        per_word = np.zeros((WIDTH, len(distinct)))
+        doc = half_doc[order]
+        rank = np.arange(len(order)) - np.searchsorted(doc, doc)
+        drawn = (rank < HARD) | (rng.random(len(order)) < DRAWN / own_passages[doc])
+        counts = np.ones(len(order), dtype=bool) if epoch < WARM else np.where(y[doc] == 1, rank < 1, drawn)
+        take, rank, doc = order[counts], rank[counts], doc[counts]
+        label = y[doc]
+        p = 1 / (1 + np.exp(-np.clip(mean[take] + bias[1] - bias[0], -30, 30)))
+        if epoch < WARM:
+            weight = 1 / own_passages[doc]
+        else:
+            weight = np.where(label == 1, np.clip(2 * p, FLOOR, 1), np.where(rank < HARD, WEIGHT, 1) / (HARD + DRAWN))
+        g = (p - label) * weight / len(y)  # of the toxic logit; the clean one's is the opposite
+        per_word = np.zeros(len(distinct))
         for c in range(0, len(take), PASSAGES):
             part = take[c : c + PASSAGES]
-            label = y[half_doc[part]]
             n = count[part]
             ends_ = np.cumsum(n)
             places = np.repeat(half_at[part], n) + (np.arange(ends_[-1]) - np.repeat(ends_ - n, n))
-            words = of[places]
-            mean_vec = np.add.reduceat(vector[words] * fresh[places, None], ends_ - n, axis=0) / n[:, None].astype(np.float32)
-            logit = mean_vec @ w + bias
-            p = np.exp(logit - logit.max(axis=1, keepdims=True))
-            g = p / p.sum(axis=1, keepdims=True)
-            g[np.arange(len(g)), label] -= 1
-            g *= np.where(label == 1, weight[1], weight[0]).astype(np.float32)[:, None]
-            grad_w += mean_vec.T @ g
-            grad_bias += g.sum(axis=0)
-            back = np.repeat((g @ w.T) / n[:, None].astype(np.float32), n, axis=0) * fresh[places, None]
-            touched, at = np.unique(words, return_inverse=True)
-            for d in range(WIDTH):
-                per_word[d, touched] += np.bincount(at, weights=back[:, d], minlength=len(touched))
-        per_word = (per_word / k).astype(np.float32)
-        touched = np.flatnonzero(per_word.any(axis=0))
-        grad_e = np.zeros_like(e)
-        bounds = np.searchsorted(np.cumsum(k[touched]), np.arange(0, k[touched].sum() + FEATURES, FEATURES))
-        for part in (touched[a:b] for a, b in zip(bounds, [*bounds[1:], len(touched)]) if a < b):
-            m_ = k[part]
-            feats = row[np.repeat(begin[part], m_) + (np.arange(m_.sum()) - np.repeat(np.cumsum(m_) - m_, m_))]
-            for d in range(WIDTH):
-                grad_e[:, d] += np.bincount(feats, weights=np.repeat(per_word[d, part], m_), minlength=size)
-        for param, grad, (m, v) in zip((e, w, bias), (grad_e, grad_w, grad_bias), moments):
-            m += 0.1 * (grad - m)
-            v += 0.01 * (grad * grad - v)
-            param -= (RATE * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.99 ** (epoch + 1))) + STEADY)).astype(np.float32)
+            per_word += np.bincount(of[places], weights=np.repeat(g[c : c + PASSAGES] / n, n) * fresh[places], minlength=len(distinct))
+        per_row = np.bincount(row, weights=(per_word / k)[word], minlength=size).astype(np.float32)
+        to_w = vector.T @ per_word.astype(np.float32)
+        for d in range(WIDTH):
+            _moved(e[d], velocity[0][d], step * per_row * (y.sum() * (w[d, 1] - w[d, 0])).astype(np.float32))
+        _moved(w, velocity[1], 0.01 * np.stack((-to_w, to_w), axis=1))
+        _moved(bias, velocity[2], 0.1 * np.array([-g.sum(), g.sum()], dtype=np.float32))
     table = np.zeros(1 << BITS)
-    table[used] = e @ (w[:, 1] - w[:, 0])
+    table[used] = (w[:, 1] - w[:, 0]) @ e
     return Model(table, float(bias[1] - bias[0]))
 
 
@@ -237,8 +255,9 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[int]]:
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs' other columns and score, the probability of label 1, of every document's whole text.
 
-    Texts that are null, empty or without words get the lowest score. A column of that
-    name is replaced.
+    Texts that are null, empty or without words get the lowest score, unless all texts
+    get one, as nothing was learned. A very long text is a block of its own; repeated
+    rows get one score each. A column of that name is replaced.
     """
     kept = [c for c in docs.columns if c != "score"]
     spread = docs.sparkSession.sparkContext.broadcast(model)
@@ -255,7 +274,8 @@ def detect(docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int
     """(doc_id, held_out, score, predicted): learned from labelled documents outside of one fold, scored for all.
 
     A null doc_id is in no fold: it is neither learned from nor held out. Without both
-    labels to learn from, all documents get one score. Repeated rows are scored each.
+    labels to learn from, all documents get one score: 0 without any label or with clean
+    ones only, else 1. Repeated rows are scored each.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     model = fit(*sample(rows.where(fold("doc_id", folds) != held_out), labels.select(F.col(doc_id).cast("long").alias("doc_id"), "toxic")))

@@ -1,6 +1,7 @@
 """Corpus operators against brute force on small, awkward tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -417,10 +418,34 @@ def test_toxicity_is_trained_the_same_in_parts(monkeypatch):
     texts = [" ".join(rng.choices(words, k=60) + ["vile"] * y).encode() for y in labels]
     whole = toxicity.fit(texts, labels, 6)
     monkeypatch.setattr(toxicity, "PASSAGES", 7)
-    monkeypatch.setattr(toxicity, "FEATURES", 50)
     assert np.allclose(toxicity.fit(texts, labels, 6).scores(texts), whole.scores(texts), atol=1e-3)
 
 
+@pytest.mark.parametrize(("toxic", "score"), [([], 0.0), ([0, 0], 0.0), ([1, 1], 1.0)])
+def test_toxicity_without_both_labels_is_one_score(spark, toxic, score):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "two", None, "", "idiot", "..."])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i, t in zip((0, 1), toxic)], "doc_id long, toxic int")
+    assert {(r.score, r.predicted) for r in toxicity.detect(docs, labels).collect()} == {(score, int(score))}
+
+
+#: Words of the given tables' toxic texts, of which no clean one has any.
+TELLING = re.compile("trash|pathetic|idiot|worthless|disgusting|stupid|clown|loser|scum|moron")
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_of_held_out_rows(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("toxic in (0, 1)").select("doc_id", "toxic").join(docs, "doc_id").select("doc_id", "toxic", "text")
+    got = toxicity.detect(docs, labels).where("held_out").join(known, "doc_id").toPandas()
+    toxic, told = got.toxic == 1, got.text.str.lower().str.contains(TELLING)
+    assert got[toxic & told].predicted.mean() >= 0.85 and got[~toxic].predicted.mean() < 0.02
+    rank = got.score.rank()
+    assert (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum()) > 0.78
+
+
 def test_quotation_linking(spark):
     rows = [
         (1, 0, "u", "Hello all\nwhat is up?"), (1, 1, "a", "Not much"), (1, 2, "b", "On Monday u wrote:\n> Hello all\n> what is UP?\nfine here"),
