@@ -9,10 +9,13 @@ and their labels are never suppressed.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,24 +150,38 @@ class Scanner:
         self.base = [(f" {p} ".encode(), label) for p, label in BASE.items()]
 
     def base_places(self, folded: bytes) -> list[tuple[int, str]]:
-        """(first word, label) of every place of a base phrase."""
+        """(place of the space before, label) of every place of a base phrase."""
         out = []
         for phrase, label in self.base:
             at = folded.find(phrase)
             while at >= 0:
-                out.append((folded.count(b" ", 0, at), label))
+                out.append((at, label))
                 at = folded.find(phrase, at + 1)
         return out
 
     def detections(self, words: list[bytes], folded: bytes) -> list[tuple[int, int, int]]:
         """(start, end, rule) over folded text that nothing suppresses, in order."""
         tried = sorted({i for word in self.by_keyword.keys() & set(words) for i in self.by_keyword[word]})
-        found = [(m.start(), m.end(), i) for i in tried for m in self.compiled[i].finditer(folded)]
-        found.sort(key=lambda d: (-self.rules[d[2]].priority, d[0] - d[1], d[2], d[0]))
+        levels: dict[int, list[tuple[int, int, int]]] = {}
+        for i in tried:
+            levels.setdefault(self.rules[i].priority, []).extend((m.start(), -m.end(), i) for m in self.compiled[i].finditer(folded))
         kept: list[tuple[int, int, int]] = []
-        for a, b, i in found:
-            if not any(x <= a and b <= y for x, y, _ in kept):
-                kept.append((a, b, i))
+        above: list[tuple[int, int, int]] = []
+        starts: list[int] = []
+        reach: list[int] = []  # the furthest end of all detections above that start there or before
+        for priority in sorted(levels, reverse=True):
+            level = sorted(levels[priority])
+            furthest = -1
+            for a, b, i in level:
+                if -b <= furthest:
+                    continue
+                furthest = -b
+                k = bisect.bisect_right(starts, a)
+                if not k or reach[k - 1] < -b:
+                    kept.append((a, -b, i))
+            above = sorted(above + level)
+            starts = [a for a, *_ in above]
+            reach = list(itertools.accumulate((-b for _, b, _ in above), max))
         return sorted(kept)
 
 
@@ -186,8 +203,9 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
 
     detections are structs of label, score and the words from and to (exclusive) that a
     rule matched, after suppression. score is the best of all, 0 without any. A null or
-    empty text has no words and empty label strings; null doc_ids, repeated rows and
-    other columns are passed by.
+    empty text has no words and empty label strings; a very long one is scanned whole,
+    in time that grows with its length and its detections. Null doc_ids and repeated
+    rows give a row each; other columns are passed by.
     """
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<label: string, score: double, from_word: long, to_word: long>>"
     spans = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64()), ("from_word", pa.int64()), ("to_word", pa.int64())]))
@@ -200,8 +218,12 @@ def scan(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Data
             for key, doc in zip(batch.column("doc_id").to_pylist(), texts):
                 words = kernels.words_of(doc)
                 folded = b" " + b" ".join(words) + b" "
-                base = s.base_places(folded)
-                found = [(s.rules[i].label, s.rules[i].score, folded.count(b" ", 0, a), folded.count(b" ", 0, b)) for a, b, i in s.detections(words, folded)]
+                base, found = s.base_places(folded), s.detections(words, folded)
+                if base or found:  # a space's place to the number of words before it
+                    spaces = np.flatnonzero(np.frombuffer(folded, dtype=np.uint8) == 0x20)
+                    before = lambda place: int(np.searchsorted(spaces, place))
+                    base = [(before(a), label) for a, label in base]
+                    found = [(s.rules[i].label, s.rules[i].score, before(a), before(b)) for a, b, i in found]
                 base_labels = {label for _, label in base}
                 labels = base_labels | {label for label, *_ in found}
                 at = [w for w, _ in base]
