@@ -35,6 +35,8 @@ SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Unit vectors; scaled by their largest component first, so that no square leaves the range of doubles."""
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -75,6 +77,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, a)[:, None] + np.einsum("ij,ij->i", b, b)[None, :] - 2 * a @ b.T
 
 
+def near_in(a: np.ndarray, b: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a and b, the coordinates of one block, that are within its share of the squared distance."""
+    return np.nonzero(_distances(a, b) <= share + 1e-6)
+
+
 def join(rows: DataFrame, *, cosine: float = COSINE, blocks: int = BLOCKS, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
@@ -89,9 +96,7 @@ def join(rows: DataFrame, *, cosine: float = COSINE, blocks: int = BLOCKS, vec_i
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("embedding"))
     double = F.col("embedding").cast("array<double>")
     fine = F.coalesce(F.forall(double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(double, lambda x: x != 0), F.lit(False))
-    # vectors whose squares leave the range of doubles have no cosine to speak of
-    norm = F.aggregate(double, F.lit(0.0), lambda s, x: s + x * x)
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull()).where(fine).where((norm > 1e-300) & (norm < 1e300))
+    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull()).where(fine)
     usable = usable.withColumn("vector", F.xxhash64("label", "embedding"))
     one = cluster.cut(usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
     counts: DataFrame | None = None
@@ -158,9 +163,8 @@ def _links(one: DataFrame, dim: int, cosine: float, blocks: int) -> DataFrame:
             if not len(a) or not len(b):
                 continue
             turned = x @ axes
-            linked = _distances(turned[a][:, own[block]], turned[b][:, own[block]]) <= share[block] + 1e-6
-            linked &= x[a] @ x[b].T >= cosine - 1e-6
-            i, j = np.nonzero(linked)
+            # only what is near in the block is compared as a whole
+            i, j = near_in(turned[a][:, own[block]], turned[b][:, own[block]], share[block])
             kept = []
             for part in range(0, len(i), PAIRS):
                 p, q = a[i[part : part + PAIRS]], b[j[part : part + PAIRS]]

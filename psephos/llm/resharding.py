@@ -117,8 +117,9 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, *,
 
     size is the text's UTF-8 bytes, none for null, and ROW_BYTES; text_crc32 is 0 for a
     null or empty text. old_shard gives 0 to old_shards - 1; null counts as shard 0.
-    capacities default to equal ones. slot is gapless from 0 in each shard. Repeated
-    rows are rows of their own, and may part; a null doc_id is placed like any other.
+    capacities default to equal ones. slot is gapless from 0 in each shard. The law is one
+    of sizes, so equal texts form no unit: a group of them can be larger than a shard.
+    Repeated rows are rows of their own, and may part; a null doc_id is placed like any other.
     An empty table gives no rows. Other columns are ignored.
     """
     t = F.col(text)

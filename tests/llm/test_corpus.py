@@ -241,6 +241,26 @@ def test_license_gate_drops_no_match(spark):
     assert [r.labels for r in licenses.scan(make(spark, docs)).orderBy("doc_id").collect()] == ["beerware", "rail", "beerware", "rail", ""]
 
 
+def test_license_labels_against_a_plain_scan(spark):
+    rng = random.Random(12)
+    rules = licenses.rules()
+    pieces = [written(re._parser.parse(r.pattern), full) for r in rules for full in (True, False)]
+    docs = [" ".join(rng.choice(pieces) if rng.random() < 0.6 else prose(rng, 3) for _ in range(rng.randint(1, 25))) for _ in range(150)] + ["copyright 2020 x " * 3000]
+    got = {r.doc_id: r for r in licenses.scan(make(spark, docs)).collect()}
+    for i, text in enumerate(docs):
+        words = WORDS.findall(low(text))
+        folded = f" {' '.join(words)} "
+        found = [(m.start(), m.end(), j) for j, r in enumerate(rules) for m in re.finditer(f" {r.pattern}(?= )", folded)] if i < 150 else []
+        rank = lambda d: (-rules[d[2]].priority, d[0] - d[1], d[2], d[0])
+        kept = [d for d in found if not any(e[0] <= d[0] and d[1] <= e[1] and rank(e) < rank(d) for e in found)]
+        if i < 150:
+            assert sorted((folded.count(" ", 0, a), folded.count(" ", 0, b), rules[j].label) for a, b, j in kept) == sorted((d.from_word, d.to_word, d.label) for d in got[i].detections)
+            base = set(got[i].base_labels.split(",")) - {""}
+            assert got[i].labels == ",".join(sorted(base | {rules[j].label for *_, j in kept})) and got[i].score == max([0.0, *[0.7 for _ in base], *[rules[j].score for *_, j in kept]])
+        else:
+            assert len(got[i].detections) == 3000
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
@@ -351,6 +371,18 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.join(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_scale_and_few_whole_comparisons(spark):
+    big = [[1e200, 2e200], [2e200, 4.001e200], [1e-200, 2e-200], [-1.0, 1.0]]
+    got = embed_dedup.join(spark.createDataFrame([(i, v, "a") for i, v in enumerate(big)], "vec_id long, embedding array<double>, label string"))
+    assert [(r.n_links, r.component_id) for r in got.orderBy("vec_id").collect()] == [(2, 0), (2, 0), (2, 0), (0, 3)]
+    x = embed_dedup.unit(np.random.default_rng(1).normal(size=(400, 64)))
+    value, axes = np.linalg.eigh(np.cov(x.T))
+    own, share = embed_dedup.split(value[::-1], 4, 0.93)
+    turned = x @ axes[:, ::-1]
+    whole = sum(len(embed_dedup.near_in(turned[:, o], turned[:, o], s)[0]) - len(x) for o, s in zip(own, share))
+    assert whole < len(x) * (len(x) - 1) / 3
+
+
 def test_language_id(spark):
     rng = random.Random(8)
     syllables = {"en": "the and ing er th ou".split(), "de": "sch ein ung ich der ü".split(), "fr": "eau le ment é que oi".split()}
