@@ -145,10 +145,10 @@ def q12(t: Tables) -> DataFrame:
 _V3 = "(SELECT entity_name, CAST(sum(3 * votes) AS BIGINT) AS v3 FROM vc GROUP BY 1)"
 
 
-@query("q13_version_comparison", f"+ a AS (SELECT entity_name, {SUM} AS v1 FROM vc GROUP BY 1), b AS {_V3}, c AS (SELECT entity_name, {SUM} AS v4 FROM vc WHERE past GROUP BY 1), o AS (SELECT (SELECT sum(v3) FROM b) / (SELECT sum(v1) FROM a) AS f), j AS (SELECT entity_name, v1, CAST(round_even(v1 * f, 0) AS BIGINT) AS v2, v3, v4 FROM a, o JOIN b ON true LEFT JOIN c USING (entity_name) WHERE a.entity_name = b.entity_name) SELECT entity_name, v1, v2, v3, v4 FROM j")
+@query("q13_version_comparison", f"+ a AS (SELECT entity_name, {SUM} AS v1 FROM vc GROUP BY 1), b AS {_V3}, c AS (SELECT entity_name, {SUM} AS v4 FROM vc WHERE past GROUP BY 1), o AS (SELECT (SELECT sum(v3) FROM b) / (SELECT sum(v1) FROM a) AS f), j AS (SELECT entity_name, v1, CAST(round_even(v1 * f, 0) AS BIGINT) AS v2, v3, v4 FROM a, o JOIN b ON true LEFT JOIN c USING (entity_name) WHERE a.entity_name = b.entity_name) SELECT *, round_even(v1 / v3 * 100, 1) AS v1_accuracy_pct, round_even(v2 / v3 * 100, 1) AS v2_accuracy_pct, round_even(v4 / v3 * 100, 1) AS v4_accuracy_pct FROM j")
 def q13(t: Tables) -> DataFrame:
     v3 = t.candidate.groupBy("entity_name").agg(F.sum(3 * F.col("votes")).alias("votes"))
-    return totals.compare_versions(t.candidate, v3, t.past_candidate).select("entity_name", "v1", "v2", "v3", "v4")
+    return totals.compare_versions(t.candidate, v3, t.past_candidate)
 
 
 @query("q14b_scaled_rows", "SELECT seq, CAST(round_even(votes * ((SELECT sum(3 * votes) FROM vc) / (SELECT sum(votes) FROM vc)), 0) AS BIGINT) AS votes FROM vc")
@@ -294,10 +294,9 @@ def q01(t: Tables) -> DataFrame:
     return clean.heal(t.stations, t.votes).select("station_code", "form_type", "eligible_voters", "voters_present", "ballots_used", "ballots_good", "ballots_spoiled", "ballots_no_vote", "validation_flags")
 
 
-@query("q02_estimate_eligible", _HEAL + ", rt AS (SELECT coalesce(avg(voters_present / nullif(eligible_voters, 0)), 0.71) AS rate FROM he) SELECT station_code, form_type, coalesce(eligible_voters, CAST(round_even(voters_present / rate, 0) AS BIGINT)) AS eligible_voters, eligible_voters IS NULL AS estimated FROM he, rt")
+@query("q02_estimate_eligible", _HEAL + ", rt AS (SELECT coalesce(avg(voters_present / nullif(eligible_voters, 0)), 0.71) AS rate FROM he) SELECT station_code, form_type, coalesce(eligible_voters, CAST(round_even(voters_present / rate, 0) AS BIGINT)) AS eligible_voters, CASE WHEN eligible_voters IS NULL THEN concat(coalesce(validation_flags, ''), '|ESTIMATED_ELIGIBLE_', printf('%.2f%%', rate * 100), '_TURNOUT') ELSE validation_flags END AS validation_flags FROM he, rt")
 def q02(t: Tables) -> DataFrame:
-    out = clean.estimate_eligible(clean.heal(t.stations, t.votes))
-    return out.select("station_code", "form_type", "eligible_voters", F.coalesce(F.col("validation_flags").contains("ESTIMATED_ELIGIBLE"), F.lit(False)).alias("estimated"))
+    return clean.estimate_eligible(clean.heal(t.stations, t.votes)).select("station_code", "form_type", "eligible_voters", "validation_flags")
 
 
 _CAP = "cp AS (SELECT station_code, max(ballots_good) // 100 AS cap FROM s GROUP BY 1), im AS (SELECT v.* REPLACE (CASE WHEN votes > cap THEN NULL ELSE votes END AS votes) FROM v LEFT JOIN cp USING (station_code))"
@@ -318,35 +317,33 @@ def q04(t: Tables) -> DataFrame:
     return clean.dedupe_votes(_capped(t)).select("station_code", "entity_no", "form_type", "votes")
 
 
-_KNN = """+ e AS (SELECT station_code, min(eligible_voters) AS e, min(ballots_good) AS g FROM sp GROUP BY 1),
-  w AS (SELECT station_code, entity_no, CASE WHEN station_no % 7 <> 0 THEN max(votes) END AS votes, min(seq) AS seq FROM vp WHERE station_no % 3 = 0 GROUP BY station_code, station_no, entity_no), d AS (SELECT * FROM w LEFT JOIN e USING (station_code)),
+_KNN = """+ e AS (SELECT station_code, min(eligible_voters) AS e, min(ballots_good) AS g FROM {stations} GROUP BY 1),
+  w AS (SELECT station_code, entity_no, CASE WHEN station_no % 7 <> 0 THEN max(votes) END AS votes, min(seq) AS seq FROM {votes} GROUP BY station_code, station_no, entity_no), d AS (SELECT * FROM w LEFT JOIN e USING (station_code)),
   p AS (SELECT a.seq, b.votes AS bv, row_number() OVER (PARTITION BY a.seq ORDER BY sqrt(4 / n * q), b.seq) AS r FROM (SELECT a.seq AS s1, b.seq AS s2, CAST(1 + (a.e IS NOT NULL AND b.e IS NOT NULL)::INT + (a.g IS NOT NULL AND b.g IS NOT NULL)::INT AS DOUBLE) AS n, pow(a.entity_no - b.entity_no, 2) + coalesce(pow(a.e - b.e, 2), 0.0) + coalesce(pow(a.g - b.g, 2), 0.0) AS q FROM d a, d b WHERE a.votes IS NULL AND b.votes IS NOT NULL) x JOIN d a ON a.seq = s1 JOIN d b ON b.seq = s2)
   SELECT station_code, entity_no, CAST(coalesce(d.votes, f) AS BIGINT) AS votes FROM d LEFT JOIN (SELECT seq, round_even(avg(bv), 0) AS f FROM p WHERE r <= 10 GROUP BY 1) y USING (seq)"""
 
 
-@query("q05_knn_impute", _KNN)
-def q05(t: Tables) -> DataFrame:
-    base = t.party.where("station_no % 3 = 0").groupBy("station_code", "station_no", "entity_no").agg(F.max("votes").alias("votes"), F.min("seq").alias("seq"))
-    base = base.withColumn("votes", F.when(F.col("station_no") % 7 != 0, F.col("votes"))).drop("station_no")
-    return clean.knn_impute(base, t.pstations.groupBy("station_code").agg(F.min("eligible_voters").alias("eligible_voters"), F.min("ballots_good").alias("ballots_good")), "seq").select("station_code", "entity_no", "votes")
-
-
-def _imputed(t: Tables, votes: DataFrame) -> DataFrame:
-    """All of a form's counts, those of every seventh station missing, filled; station figures are the constituency form's, for party votes too."""
+def _imputed(votes: DataFrame, stations: DataFrame) -> DataFrame:
+    """All of a form's counts, those of every seventh station missing, filled."""
     base = votes.groupBy("station_code", "station_no", "entity_no").agg(F.max("votes").alias("votes"), F.min("seq").alias("seq"))
     base = base.withColumn("votes", F.when(F.col("station_no") % 7 != 0, F.col("votes"))).drop("station_no")
-    stats = t.cstations.groupBy("station_code").agg(F.min("eligible_voters").alias("eligible_voters"), F.min("ballots_good").alias("ballots_good"))
+    stats = stations.groupBy("station_code").agg(F.min("eligible_voters").alias("eligible_voters"), F.min("ballots_good").alias("ballots_good"))
     return clean.knn_impute(base, stats, "seq").select("station_code", "entity_no", "votes")
 
 
-@query("q05_knn_impute_party")
+@query("q05_knn_impute", _KNN.format(votes="vp", stations="sp"))
+def q05(t: Tables) -> DataFrame:
+    return _imputed(t.party, t.pstations)
+
+
+@query("q05_knn_impute_party", _KNN.format(votes="vp", stations="sc"))
 def q05p(t: Tables) -> DataFrame:
-    return _imputed(t, t.party)
+    return _imputed(t.party, t.cstations)
 
 
-@query("q05_knn_impute_candidate")
+@query("q05_knn_impute_candidate", _KNN.format(votes="vc", stations="sc"))
 def q05c(t: Tables) -> DataFrame:
-    return _imputed(t, t.candidate)
+    return _imputed(t.candidate, t.cstations)
 
 
 @query("p12_geo_filter", "+ z AS (SELECT * FROM s WHERE district = 'ASIA') SELECT seq, votes FROM v WHERE station_code IN (SELECT station_code FROM z)")

@@ -9,6 +9,7 @@ from psephos.functions import pdsem, thai
 from psephos.operators import areas, election2023, forms, manifest, totals
 from psephos.plans.analytics import KEY, SUM, query
 from psephos.plans.fixture import Tables
+from psephos.plans.paperwork import spelled
 
 TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
@@ -92,11 +93,10 @@ def a12(t: Tables) -> DataFrame:
     return election2023.column_totals(_wide(t))
 
 
-@query("q32_area_summary", f"+ w AS (SELECT DISTINCT station_no, {_AREA} AS district, subdistrict FROM v WHERE past), b AS (SELECT district, subdistrict, concat(district, '||', subdistrict) AS area_key, count(*) AS station_count, CAST(sum(station_no + 100) AS BIGINT) AS eligible_voters, CAST(sum(station_no * 2 + 100) AS BIGINT) AS voters_present, CAST(sum(station_no * 3 + 100) AS BIGINT) AS spoiled_ballots, CAST(sum(station_no * 4 + 100) AS BIGINT) AS no_vote FROM w GROUP BY 1, 2), g AS (SELECT {_AREA} AS district, subdistrict, entity_name, sum(votes) AS votes, row_number() OVER (PARTITION BY {_AREA}, subdistrict ORDER BY sum(votes) DESC, entity_name) AS r FROM v WHERE past AND entity_name IN (SELECT entity_name FROM vp) GROUP BY 1, 2, 3) SELECT b.*, entity_name AS party_list_winner, CAST(votes AS BIGINT) AS party_list_winner_votes FROM b LEFT JOIN (SELECT * FROM g WHERE r = 1) q USING (district, subdistrict)")
+@query("q32_area_summary", f"+ w AS (SELECT DISTINCT station_no, {_AREA} AS district, subdistrict FROM v WHERE past), b AS (SELECT district, subdistrict, concat(district, '||', subdistrict) AS area_key, count(*) AS station_count, CAST(sum(station_no + 100) AS BIGINT) AS eligible_voters, CAST(sum(station_no * 2 + 100) AS BIGINT) AS voters_present, CAST(sum(station_no * 3 + 100) AS BIGINT) AS spoiled_ballots, CAST(sum(station_no * 4 + 100) AS BIGINT) AS no_vote FROM w GROUP BY 1, 2), cv AS (SELECT station_no, party_name, sum(votes) AS n FROM v WHERE past AND party_name IS NOT NULL GROUP BY 1, 2), ty AS (SELECT unnest({TYPES}) AS party_name, concat('c', unnest([1, 2, 3, 4, 5, 6])) AS name), cw AS (SELECT district, subdistrict, name AS constituency_winner, party_name AS constituency_winner_party, CAST(coalesce(sum(n), 0) AS BIGINT) AS constituency_winner_votes, row_number() OVER (PARTITION BY district, subdistrict ORDER BY coalesce(sum(n), 0) DESC, name) AS r FROM w CROSS JOIN ty LEFT JOIN cv USING (station_no, party_name) GROUP BY 1, 2, 3, 4), g AS (SELECT {_AREA} AS district, subdistrict, entity_name, sum(votes) AS votes, row_number() OVER (PARTITION BY {_AREA}, subdistrict ORDER BY sum(votes) DESC, entity_name) AS r FROM v WHERE past AND entity_name IN (SELECT entity_name FROM vp) GROUP BY 1, 2, 3) SELECT b.*, round_even(voters_present / eligible_voters * 100, 2) AS turnout_pct, constituency_winner, constituency_winner_party, constituency_winner_votes, entity_name AS party_list_winner, CAST(votes AS BIGINT) AS party_list_winner_votes FROM b LEFT JOIN (SELECT * FROM g WHERE r = 1) q USING (district, subdistrict) LEFT JOIN (SELECT * EXCLUDE (r) FROM cw WHERE r = 1) y USING (district, subdistrict)")
 def q32(t: Tables) -> DataFrame:
     wide = _wide(t)
-    out = election2023.area_summary(election2023.station_summary(wide), election2023.candidate_votes(wide, _candidates(t)), election2023.party_votes(wide))
-    return out.drop("turnout_pct", "constituency_winner", "constituency_winner_party", "constituency_winner_votes")
+    return election2023.area_summary(election2023.station_summary(wide), election2023.candidate_votes(wide, _candidates(t)), election2023.party_votes(wide))
 
 
 @query("q37_past_party_totals", f"SELECT trim(entity_name) AS compare_party, {SUM} AS votes_2023 FROM vp WHERE past AND district = 'ASIA' GROUP BY 1")
@@ -133,11 +133,16 @@ def f01(t: Tables) -> DataFrame:
     return table(t, "events").select("event_id", thai.to_int(text).alias("n"))
 
 
-@query("f11_cross_check", "+ e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id END AS a, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id AS STRING) END AS w, CASE WHEN event_id % 3 = 0 THEN event_id + 1 WHEN event_id % 11 <> 0 THEN event_id END AS b FROM events) SELECT event_id, CASE WHEN a IS NULL AND w IS NULL THEN 'both_missing' WHEN a IS NULL THEN 'digit_missing' WHEN w IS NULL THEN 'word_missing' WHEN b IS NULL THEN concat('unparseable_word:', w) WHEN a <> b THEN concat('mismatch:', a, '!=', b, '(', w, ')') ELSE '' END AS reason FROM e")
+_SPELLED = spelled("CASE WHEN event_id % 3 = 0 THEN event_id + 1 ELSE event_id END")
+_WORD = f"CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 AND event_id % 3 <> 0 THEN 'กขค' ELSE {_SPELLED} END"
+
+
+@query("f11_cross_check", f"+ e AS (SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id END AS a, {_WORD} AS w, CASE WHEN event_id % 3 = 0 THEN event_id + 1 WHEN event_id % 11 <> 0 THEN event_id END AS b FROM events) SELECT event_id, CASE WHEN a IS NULL AND w IS NULL THEN 'both_missing' WHEN a IS NULL THEN 'digit_missing' WHEN w IS NULL THEN 'word_missing' WHEN b IS NULL THEN concat('unparseable_word:', w) WHEN a <> b THEN concat('mismatch:', a, '!=', b, '(', w, ')') ELSE '' END AS reason FROM e")
 def f11(t: Tables) -> DataFrame:
     i = F.col("event_id")
-    spelled = F.when(i % 3 == 0, i + 1).when(i % 11 != 0, i)
-    return table(t, "events").select("event_id", thai.cross_check(F.when(i % 5 != 0, i), F.when(i % 7 != 0, i.cast("string")), spelled)["reason"].alias("reason"))
+    words = table(t, "events").select("event_id", F.expr(_WORD).alias("w"))
+    words = words.withColumn("spelled", thai.word_to_int(F.col("w")))
+    return words.select("event_id", thai.cross_check(F.when(i % 5 != 0, i), F.col("w"), F.col("spelled"))["reason"].alias("reason"))
 
 
 @query("f22_json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -165,18 +170,18 @@ def q35(t: Tables) -> DataFrame:
 
 
 def _plain(t: Tables) -> DataFrame:
-    return t.cstations.withColumn("subdistrict", F.replace("subdistrict", F.lit("_"), F.lit("")))
+    """Stations with the names that files' names are cut to."""
+    return t.cstations.withColumn("subdistrict", F.translate("subdistrict", "_ ", ""))
 
 
 def _pdfs(t: Tables) -> DataFrame:
-    n = table(t, "nation").select(F.concat(F.lit("x/อำเภอD/ต."), "n_name", F.when(F.col("n_nationkey") % 3 == 0, "-แบ่งเขต_บัญชีรายชื่อ.pdf").when(F.col("n_nationkey") % 3 == 1, "-แบ่งเขต.PDF").otherwise("-อื่น.pdf")).alias("path"))
-    return n.where(~F.col("path").contains(" "))
+    return table(t, "nation").select(F.concat(F.lit("x/อำเภอD/ต."), "n_name", F.when(F.col("n_nationkey") % 3 == 0, "-แบ่งเขต_บัญชีรายชื่อ.pdf").when(F.col("n_nationkey") % 3 == 1, "-แบ่งเขต.PDF").otherwise("-อื่น.pdf")).alias("path"))
 
 
-_HAVE = "h AS (SELECT n_name, n_nationkey % 3 AS k FROM nation WHERE n_name NOT LIKE '% %')"
+_HAVE = "h AS (SELECT n_name, n_nationkey % 3 AS k FROM nation)"
 
 
-@query("q36_coverage", f"+ {_HAVE} SELECT district, replace(subdistrict, '_', '') AS subdistrict, count(*) AS n_stations, coalesce(max(k) < 2, false) AS has_5_18, coalesce(max(k) = 0, false) AS has_5_18_party, CASE WHEN max(k) = 0 THEN 'complete' WHEN max(k) = 1 THEN 'partial' ELSE 'missing' END AS completeness FROM sc LEFT JOIN h ON n_name = subdistrict GROUP BY 1, 2")
+@query("q36_coverage", f"+ {_HAVE} SELECT district, replace(replace(subdistrict, '_', ''), ' ', '') AS subdistrict, count(*) AS n_stations, coalesce(max(k) < 2, false) AS has_5_18, coalesce(max(k) = 0, false) AS has_5_18_party, CASE WHEN max(k) = 0 THEN 'complete' WHEN max(k) = 1 THEN 'partial' ELSE 'missing' END AS completeness FROM sc LEFT JOIN h ON n_name = subdistrict GROUP BY 1, 2")
 def q36(t: Tables) -> DataFrame:
     return manifest.coverage(_plain(t), _pdfs(t))
 
