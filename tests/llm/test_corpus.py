@@ -510,6 +510,19 @@ def test_components(spark):
     assert cluster.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_empty_tables(spark):
+    docs = make(spark, ["x"]).limit(0)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for out in (
+        decontam.digest(decontam.scan(docs, bench)), decontam.clean(docs, bench), licenses.scan(docs), jaccard_join.join(docs), jaccard_join.keep_one(docs),
+        suffix_dedup.digest(docs), suffix_dedup.remove(docs), toxicity.detect(docs, labels), packing.pack_documents(docs), quotes.link(talk), langid.known(docs),
+    ):
+        assert out.count() == 0
+    assert [r.n_hit for r in decontam.scan(make(spark, ["some words", None]), bench).collect()] == [0, 0]
+
+
 def test_shingles_of_few_words():
     sets = kernels.shingle_sets([b"", b"a", b"A", b"a b", b"a b c", b"b c a", "é Ü x".encode()], 3)
     assert [len(s) for s in sets] == [0, 1, 1, 1, 1, 1, 1]
