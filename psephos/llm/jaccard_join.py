@@ -5,16 +5,15 @@ order is the global order. That order is cut into fragments, so a set is cut int
 fragments' parts, and the overlap of two sets is the sum of their overlaps in each
 fragment.
 
-Shared n-grams. At most 100 - t % of a set's n-grams, e of them, are missing from a
-set that it links with. So of the m n-grams in a part of the order that is about 3 e
-long, at most e can be the set's alone; sets with more go no further. Each task knows
-how many of a set's n-grams that it met are shared and how many are not. It sends the
-excess of the shared ones, and nothing for a set most of whose n-grams there are its
-alone. A set that can link has an excess of at least m - 2 e in sum.
-
-Candidates. Sets a and b with 100 * |a & b| >= t * |a | b| differ in at most
-D = (|a| + |b|) * (100 - t) / (100 + t) elements. Cut in more than D fragments, they
-agree in at least one entirely. The number of fragments follows from the size, in
+Shared parts. Sets a and b with 100 * |a & b| >= t * |a | b| differ in at most
+D = (|a| + |b|) * (100 - t) / (100 + t) elements, and so in at most D fragments. Cut in
+about 2 D fragments, a set that links has all its parts but D in common with one other
+set. Each task counts which of the parts that it met several sets have; a set of which
+more than D parts are its alone goes no further. Only shared parts are sent, and a
+part of several n-grams is rarely shared by chance.
+
+Candidates. Cut in more than D fragments, two sets that link agree in at least one
+entirely. The number of fragments follows from the size, in
 levels that grow by about a third, and each set is cut for every level that the larger set of a
 pair it may link in can have. Sets that share an equal part of a fragment are
 candidates. Empty parts say nothing: each level has so many fragments more that equal
@@ -23,7 +22,7 @@ No pair can be missed. Parts meet as packed arrays, one shuffle, and each map ta
 sends one set for each part, so that parts shared by very many sets stay light. What a
 task finds to hang together leaves it as a forest: at most one edge for each set.
 
-Tasks. N-grams and parts are dealt to as many tasks as the session shuffles to, in
+Tasks. Parts are dealt to as many tasks as the session shuffles to, in
 pieces of bounded size that a task takes one after another; its counts and forests are
 sent once, or whenever they have reached a bounded size.
 
@@ -52,14 +51,14 @@ from psephos.llm.kernels import U, mix
 
 #: Most sets, and most n-grams, of one chunk of a group of candidates.
 CHUNK_SETS, CHUNK_GRAMS = 512, 1_000_000
-#: Parts, or n-grams, that a map task holds before it sends them.
+#: Parts that a map task holds before it sends them.
 HELD_PARTS = 1_000_000
-#: N-grams, or parts, of one piece that a task takes at a time.
+#: Parts of one piece that a task takes at a time.
 PIECE = 200_000
 #: Counts, or edges, that a task gathers before it sends them.
 GATHERED = 500_000
-#: The share of the n-gram order in which unshared n-grams are counted, as a multiple of the share that linked sets can lack.
-LOOKED_AT = 3
+#: Fragments in which shared parts are counted, as a multiple of the elements in which linked sets can differ.
+COUNTED = 2
 #: Rows of ids, about 10 MB, that may be broadcast to their texts; beyond that both sides are shuffled, with the same result.
 BROADCAST_ROWS = 200_000
 #: N-grams of one fragment's presence matrix.
@@ -72,20 +71,38 @@ def most_different(a: int, b: int, percent: int) -> int:
 
 
 @functools.lru_cache(maxsize=None)
-def level(k: int, percent: int) -> tuple[int, int, int]:
-    """(largest size, fragments, empty fragments allowed) of a level; 0 fragments where only equal sets link."""
+def sizes(k: int) -> tuple[int, int]:
+    """(largest size of the level before, largest size) of a level."""
     below, hi = 0, 4
     for _ in range(k):
         below, hi = hi, hi + max(1, hi * 7 // 20)
+    return below, hi
+
+
+def levels(n: int, percent: int) -> Iterator[int]:
+    """The levels of the larger sets of the pairs that a set of n elements can link in."""
+    k = 0
+    while sizes(k)[1] < n:
+        k += 1
+    yield k
+    while sizes(k)[1] < n * 100 // percent:
+        k += 1
+        yield k
+
+
+@functools.lru_cache(maxsize=None)
+def level(k: int, percent: int) -> tuple[int, int]:
+    """(fragments, empty fragments allowed) of a level; 0 fragments where only equal sets link."""
+    below, hi = sizes(k)
     low = max(1, below * percent // 100)
     if not (d := most_different(hi, hi, percent)):
-        return hi, 0, 0
+        return 0, 0
     spare = 1
     while True:
         mean = (d + 1 + spare) * math.exp(-low / (d + 1 + spare))
         need = math.ceil(mean + 4 * math.sqrt(mean))
         if spare >= need or spare >= 3 * d + 8:
-            return hi, d + 1 + spare, spare
+            return d + 1 + spare, spare
         spare = need
 
 
@@ -95,52 +112,70 @@ def vertex_of(grams: np.ndarray) -> int:
         return int(mix(mix(grams).sum(dtype=U).reshape(1) + U(len(grams)) * U(kernels.BASE)).view(np.int64)[0]) or 1
 
 
+def _cut_up(grams: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which fragments have n-grams of the sorted set, and where each begins."""
+    own = ((grams >> U(32)) * U(fragments)) >> U(32)
+    starts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+    return own[starts], starts
+
+
+def _hashed(weights: np.ndarray, own: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    return mix(np.add.reduceat(weights, starts) + mix(own + U(k << 40)))
+
+
+def _weights(grams: np.ndarray) -> np.ndarray:
+    return mix(grams ^ U(0xA5A5A5A5))
+
+
 def parts(grams: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the set's parts, at every level that a pair it links in can have."""
-    n = len(grams)
-    largest = n * 100 // percent
     out = []
     weights = None
-    k = 0
-    while level(k, percent)[0] < n:
-        k += 1
-    while True:
-        hi, fragments, spare = level(k, percent)
-        if fragments:
-            if weights is None:
-                weights, high = mix(grams ^ U(0xA5A5A5A5)), grams >> U(32)
-            own = (high * U(fragments)) >> U(32)
-            starts = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
-            sums = np.add.reduceat(weights, starts)
-            out.append(mix(sums + mix(own[starts] + U(k << 40))))
-            if fragments - len(starts) > spare:
-                void = np.setdiff1d(np.arange(fragments, dtype=U), own[starts])
-                out.append(mix(mix(void + U(k << 40)) ^ U(0x5851F42D4C957F2D)))
-        if hi >= largest:
-            break
-        k += 1
+    for k in levels(len(grams), percent):
+        fragments, spare = level(k, percent)
+        if not fragments:
+            continue
+        weights = _weights(grams) if weights is None else weights
+        own, starts = _cut_up(grams, fragments)
+        out.append(_hashed(weights, own, starts, k))
+        if fragments - len(starts) > spare:
+            void = np.setdiff1d(np.arange(fragments, dtype=U), own)
+            out.append(mix(mix(void + U(k << 40)) ^ U(0x5851F42D4C957F2D)))
     return np.concatenate(out) if out else np.zeros(0, dtype=U)
 
 
-def looked_at(grams: np.ndarray, percent: int) -> np.ndarray:
-    """The set's n-grams in the part of the order where unshared ones are counted; the set is sorted."""
-    share = LOOKED_AT * (100 - percent)
-    return grams if share >= 100 else grams[: np.searchsorted(grams, U(2**64 // 100 * share))]
+def counted(grams: np.ndarray, vertex: int, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """(tag, need, fragments, starts, level) of every level at which the set can link with a different one.
+
+    The set has at least need parts in common with any set that it links with at that
+    level. The tag stands for the vertex at the level.
+    """
+    n = len(grams)
+    for k in levels(n, percent):
+        hi = sizes(k)[1]
+        if not (d := most_different(hi, hi, percent)):
+            continue
+        own, starts = _cut_up(grams, COUNTED * d + 1)
+        tag = int(mix(np.array([vertex], dtype=np.int64).view(U) + U(k + 1)).view(np.int64)[0]) or 1
+        yield tag, len(own) - most_different(n, min(hi, n * 100 // percent), percent), own, starts, k
 
 
 def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, looked_at, vertex) of docs' (doc_id, text); vertex is null for an empty set."""
-    names = ["doc_id", "text_hash", "n_shingles", "looked_at", "vertex"]
+    """(doc_id, text_hash, n_shingles, vertex, needs) of docs' (doc_id, text); vertex is null for an empty set, needs are its (tag, need)."""
+    names = ["doc_id", "text_hash", "n_shingles", "vertex", "needs"]
+    needs_type = pa.list_(pa.struct([("tag", pa.int64()), ("need", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches):
             sets = kernels.shingle_sets(texts, k)
+            vertices = [vertex_of(s) if len(s) else None for s in sets]
             n = pa.array([len(s) for s in sets], type=pa.int64())
-            some = pa.array([len(looked_at(s, percent)) for s in sets], type=pa.int64())
-            v = pa.array([vertex_of(s) if len(s) else None for s in sets], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), n, some, v], names=names)
+            needs = [[{"tag": c[0], "need": c[1]} for c in counted(s, v, percent)] if v else [] for s, v in zip(sets, vertices)]
+            columns = [batch.column("doc_id"), batch.column("text_hash"), n, pa.array(vertices, type=pa.int64()), pa.array(needs, type=needs_type)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, looked_at long, vertex long")
+    schema = "doc_id long, text_hash long, n_shingles long, vertex long, needs array<struct<tag: long, need: long>>"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def forest(edges: np.ndarray) -> np.ndarray:
@@ -163,17 +198,16 @@ def forest(edges: np.ndarray) -> np.ndarray:
 
 
 def _summed(counts: np.ndarray) -> np.ndarray:
-    """Rows (vertex, count), one for each vertex."""
+    """Rows (tag, count), one for each tag."""
     ids, at = np.unique(counts[:, 0], return_inverse=True)
     return np.stack((ids, np.bincount(at, weights=counts[:, 1], minlength=len(ids)).astype(np.int64)), axis=1)
 
 
-def _gathered(pieces: Iterator[np.ndarray], reduce, names: list[str], positive: bool = False) -> Iterator[pa.RecordBatch]:
-    """The pieces' rows of two numbers, reduced together, in batches of bounded size; if positive, only those whose second number is."""
+def _gathered(pieces: Iterator[np.ndarray], reduce, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pieces' rows of two numbers, reduced together, in batches of bounded size."""
     held, n = [], 0
 
     def send(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[rows[:, 1] > 0] if positive else rows
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=names)
 
     for piece in pieces:
@@ -235,67 +269,67 @@ def _dealt(keys: np.ndarray, deal: int) -> np.ndarray:
     return np.searchsorted(((keys >> U(32)) * U(deal)) >> U(32), np.arange(deal + 1, dtype=U))
 
 
-def shared_grams(docs: DataFrame, k: int, percent: int, partitions: int, n: int) -> DataFrame:
-    """(vertex, excess): by how much the set's n-grams that are looked at and that other sets have too exceed those that none has, or more; no row if not.
+def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int) -> DataFrame:
+    """(tag, shared): how many of a set's parts at a level other sets have too, or more; no row if none.
 
-    A map task sends each n-gram once: one that several of its sets have is counted for
-    them at once and sent with vertex 0, which says so. n is about the number of n-grams.
+    A map task sends each part once: one that several of its sets have is counted for
+    them at once and sent with tag 0, which says so. n is about the number of n-grams.
     """
     deal = _pieces(partitions, n)
 
-    def send(sets: list[np.ndarray], vertices: list[int]) -> Iterator[pa.RecordBatch]:
-        if not sets:
+    def send(found: list[np.ndarray], tags: list[int]) -> Iterator[pa.RecordBatch]:
+        if not found:
             return
-        grams, at = mix(np.concatenate(sets)), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(grams, kind="stable")
-        grams, at = grams[order], at[order]
-        head = np.concatenate(([True], grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, dtype=bool)
+        p, at = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+        order = np.argsort(p, kind="stable")
+        p, at = p[order], at[order]
+        head = np.concatenate(([True], p[1:] != p[:-1]))
         group = np.cumsum(head) - 1
         several = np.bincount(group, minlength=int(head.sum())) > 1
-        v = np.array(vertices, dtype=np.int64)
-        counted = np.bincount(at[several[group]], minlength=len(v))
-        one = np.where(several, 0, v[at[head]]) if len(grams) else np.zeros(0, dtype=np.int64)
-        rows = [(*r, b"") for r in _packed(_dealt(grams[head], deal), grams[head], one)]
-        rows.append((int(mix(v[:1].astype(U))[0] % U(deal)), b"", b"", b"", np.stack((v, counted), axis=1)[counted > 0].tobytes()))
+        v = np.array(tags, dtype=np.int64)
+        shared = np.bincount(at[several[group]], minlength=len(v))
+        rows = [(*r, b"") for r in _packed(_dealt(p[head], deal), p[head], np.where(several, 0, v[at[head]]))]
+        rows.append((int(mix(v[:1].astype(U))[0] % U(deal)), b"", b"", b"", np.stack((v, shared), axis=1)[shared > 0].tobytes()))
         yield _rows(rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
-        vertices: list[int] = []
+        found: list[np.ndarray] = []
+        tags: list[int] = []
         seen: set[int] = set()
         held = 0
         for _, texts in cluster.blocks(batches):
             for s in kernels.shingle_sets(texts, k):
-                if len(s) and (v := vertex_of(s)) not in seen:
-                    seen.add(v)
-                    sets.append(looked_at(s, percent))
-                    vertices.append(v)
-                    held += len(sets[-1])
+                if not len(s) or (v := vertex_of(s)) in seen:
+                    continue
+                seen.add(v)
+                weights = _weights(s)
+                for tag, _, own, starts, at in counted(s, v, percent):
+                    found.append(_hashed(weights, own, starts, at))
+                    tags.append(tag)
+                    held += len(own)
             if held >= HELD_PARTS:
-                yield from send(sets, vertices)
-                sets, vertices, held, seen = [], [], 0, set()
-        yield from send(sets, vertices)
+                yield from send(found, tags)
+                found, tags, held, seen = [], [], 0, set()
+        yield from send(found, tags)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for run in cluster.runs(batches, "pid"):
-            both = [_unpacked(row) for row in run]
-            g, v = (np.concatenate(c) for c in zip(*both))
-            order = np.argsort(g, kind="stable")
-            g, v = g[order], v[order]
-            head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, dtype=bool)
+            p, v = (np.concatenate(c) for c in zip(*(_unpacked(row) for row in run)))
+            order = np.argsort(p, kind="stable")
+            p, v = p[order], v[order]
+            head = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.zeros(0, dtype=bool)
             group = np.cumsum(head) - 1
             # a set's own copies in other tasks are not other sets, unless it was counted there
             apart = np.bincount(group, weights=(v != v[head][group]) | (v == 0), minlength=int(head.sum())) > 0
-            one = v != 0
-            net = np.stack((v[one], np.where(apart[group][one], 1, -1)), axis=1)
+            met = v[apart[group] & (v != 0)]
             # a set's copies in several tasks each count, which can only add to what a set that links has
-            yield _summed(np.concatenate([net, *(np.frombuffer(row["rest"], dtype=np.int64).reshape(-1, 2) for row in run)]))
+            yield _summed(np.concatenate([np.stack((met, np.ones_like(met)), axis=1), *(np.frombuffer(row["rest"], dtype=np.int64).reshape(-1, 2) for row in run)]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(counts(batches), _summed, ["vertex", "excess"], positive=True)
+        yield from _gathered(counts(batches), _summed, ["tag", "shared"])
 
     packed = docs.select("text").mapInArrow(cut, PACKED).repartition(partitions, "pid").sortWithinPartitions("pid")
-    return packed.mapInArrow(meet, "vertex long, excess long").groupBy("vertex").agg(F.sum("excess").alias("excess"))
+    return packed.mapInArrow(meet, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
 
 
 def candidates(sets: DataFrame, percent: int, partitions: int, n: int) -> DataFrame:
@@ -413,13 +447,13 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
     grams = digest.agg(F.sum("n_shingles")).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = digest.where("doc_id is not null and vertex is not null")
-    vertices = known.groupBy("vertex").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("looked_at").alias("looked_at"))
-    shared = cluster.cut(shared_grams(docs.where("doc_id is not null"), k, percent, partitions, grams))
+    vertices = known.groupBy("vertex").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
+    shared = cluster.cut(shared_parts(docs.where("doc_id is not null"), k, percent, partitions, grams))
     cluster.release(spark)
-    # sets that can link with a larger one, and whose unshared n-grams are few enough
-    able = vertices.where(F.col("n") * (100 - percent) >= percent).join(shared, "vertex", "left")
-    able = able.where(F.coalesce("excess", F.lit(0)) >= F.col("looked_at") - 2 * F.floor(F.col("n") * (100 - percent) / 100))
-    wanted = cluster.cut(able.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "vertex", "copies", "n"))
+    # sets that can link with a larger one, and of which few enough parts are theirs alone
+    needs = known.where(F.col("n_shingles") * (100 - percent) >= percent).select("vertex", F.explode("needs").alias("need")).select("vertex", "need.*").distinct()
+    able = needs.join(shared, "tag", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("need")).select("vertex").distinct()
+    wanted = cluster.cut(vertices.join(able, "vertex", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "vertex", "copies", "n"))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["vertex", "copies", "n"]

@@ -117,6 +117,26 @@ def test_every_linked_pair_shares_a_part():
                     assert len(np.intersect1d(jaccard_join.parts(a, percent), jaccard_join.parts(b, percent)))
 
 
+def test_linked_pairs_have_the_parts_they_need_in_common():
+    rng = np.random.default_rng(2)
+    met = 0
+    for percent in (80, 90):
+        for n in (5, 9, 10, 19, 40, 170, 600):
+            for _ in range(60):
+                a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+                gone, more = rng.integers(0, n * (100 - percent) // 100 + 2, 2)
+                b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 2**64, more, dtype=np.uint64))))
+                common = len(np.intersect1d(a, b))
+                if len(a) + len(b) == 2 * common or 100 * common < percent * (len(a) + len(b) - common):
+                    continue
+                met += 1
+                tables = [{k: (need, jaccard_join._hashed(jaccard_join._weights(x), own, starts, k)) for _, need, own, starts, k in jaccard_join.counted(x, 7, percent)} for x in (a, b)]
+                level = next(jaccard_join.levels(max(len(a), len(b)), percent))
+                shared = len(np.intersect1d(*(t[level][1] for t in tables)))
+                assert all(shared >= t[level][0] for t in tables)
+    assert met > 200
+
+
 def test_keep_one_leaves_one_of_each_group(spark, corpus):
     docs = make(spark, corpus)
     twice = docs.unionByName(docs.where("doc_id = 5"))
