@@ -7,7 +7,7 @@ fragment.
 
 Shared parts. Sets a and b with 100 * |a & b| >= t * |a | b| differ in at most
 D = (|a| + |b|) * (100 - t) / (100 + t) elements, and so in at most D fragments. Cut in
-about 2 D fragments, a set that links has all its parts but D in common with one other
+about 1.5 D fragments, a set that links has all its parts but D in common with one other
 set. Each task counts which of the parts that it met several sets have; a set of which
 more than D parts are its alone goes no further. Only shared parts are sent, and a
 part of several n-grams is rarely shared by chance.
@@ -58,7 +58,7 @@ PIECE = 200_000
 #: Counts, or edges, that a task gathers before it sends them.
 GATHERED = 500_000
 #: Fragments in which shared parts are counted, as a multiple of the elements in which linked sets can differ.
-COUNTED = 2
+COUNTED = 1.5
 #: Rows of ids, about 10 MB, that may be broadcast to their texts; beyond that both sides are shuffled, with the same result.
 BROADCAST_ROWS = 200_000
 #: N-grams of one fragment's presence matrix.
@@ -155,7 +155,7 @@ def counted(grams: np.ndarray, vertex: int, percent: int) -> Iterator[tuple[int,
         hi = sizes(k)[1]
         if not (d := most_different(hi, hi, percent)):
             continue
-        own, starts = _cut_up(grams, COUNTED * d + 1)
+        own, starts = _cut_up(grams, int(COUNTED * d) + 1)
         tag = int(mix(np.array([vertex], dtype=np.int64).view(U) + U(k + 1)).view(np.int64)[0]) or 1
         yield tag, len(own) - most_different(n, min(hi, n * 100 // percent), percent), own, starts, k
 
