@@ -63,6 +63,19 @@ def options(stations: DataFrame, column: str) -> DataFrame:
     return stations.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column)
 
 
+def ordered_list(df: DataFrame, keys: list[str | Column], order: str, value: str, name: str) -> DataFrame:
+    """For each group its values in the order of another column, ties by value; grows with the group, as the list does."""
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["v"]).alias(name))
+
+
+def display_table(df: DataFrame, names: dict[str, str], counts: list[str], rates: list[str], level: str = "Sub-district") -> DataFrame:
+    """The columns of names under their headings: counts as whole numbers, rates to two places; no subdistrict at district level."""
+    shown = {c: heading for c, heading in names.items() if not (level == "District" and c == "subdistrict")}
+    cell = lambda c: F.bround(c).cast("long") if c in counts else F.bround(c, 2) if c in rates else F.col(c)
+    return df.select(*[cell(c).alias(heading) for c, heading in shown.items()])
+
+
 def station_map(stations: DataFrame, level: str) -> DataFrame:
     keyed = known(stations.withColumn("area_key", area_key(level)), "area_key")
     out = keyed.groupBy("area_key").agg(F.count_distinct("station_code").alias("stations"), sum0("eligible_voters").alias("eligible_voters"), sum0("voters_present").alias("voters_present"))

@@ -28,7 +28,7 @@ def add_area(scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """area_key, in_project_area and area_scope of every row; a null district or subdistrict is empty."""
     df = scores.withColumn("district", F.coalesce(F.col("district").cast("string"), F.lit(""))).withColumn("subdistrict", F.coalesce(F.col("subdistrict").cast("string"), F.lit("")))
     df = df.withColumn("area_key", F.concat("district", F.lit("||"), "subdistrict"))
-    df = df.join(F.broadcast(pairs.withColumn("_in", F.lit(True))), ["district", "subdistrict"], "left").withColumn("in_project_area", F.coalesce("_in", F.lit(False))).drop("_in")
+    df = df.join(pairs.withColumn("_in", F.lit(True)), ["district", "subdistrict"], "left").withColumn("in_project_area", F.coalesce("_in", F.lit(False))).drop("_in")
     scope = F.when(F.col("in_project_area"), "project_area")
     for registrar, name in SPECIAL_REGISTRARS.items():
         scope = scope.when(F.col("registrar") == registrar, name)
@@ -39,11 +39,11 @@ def normalize_locations(locations: DataFrame, pairs: DataFrame, lookup: DataFram
     """The project's district for a place: its own pair if known, else the only district of its subdistrict, else as it is."""
     df = locations.withColumnsRenamed({"districtname": "raw_district", "subdistrictname": "raw_subdistrict"})
     own = pairs.select(F.col("district").alias("raw_district"), F.col("subdistrict").alias("raw_subdistrict"), F.lit(True).alias("_own"))
-    df = df.join(F.broadcast(own), ["raw_district", "raw_subdistrict"], "left")
-    df = df.join(F.broadcast(lookup.select(F.col("subdistrict").alias("raw_subdistrict"), F.col("district").alias("_only"))), "raw_subdistrict", "left")
+    df = df.join(own, ["raw_district", "raw_subdistrict"], "left")
+    df = df.join(lookup.select(F.col("subdistrict").alias("raw_subdistrict"), F.col("district").alias("_only")), "raw_subdistrict", "left")
     df = df.withColumn("district", F.when(F.col("_own"), F.col("raw_district")).otherwise(F.coalesce("_only", "raw_district"))).withColumn("subdistrict", F.col("raw_subdistrict"))
     known = pairs.select("district", "subdistrict", F.lit(True).alias("_in"))
-    df = df.join(F.broadcast(known), ["district", "subdistrict"], "left")
+    df = df.join(known, ["district", "subdistrict"], "left")
     project = (F.coalesce("_own", F.lit(False)) | F.col("_only").isNotNull()) & F.coalesce("_in", F.lit(False))
     return df.withColumn("area_key", F.concat("district", F.lit("||"), "subdistrict")).withColumn("in_project_area", project).drop("_own", "_only", "_in")
 
@@ -65,7 +65,7 @@ def candidate_votes(scores: DataFrame, candidates: DataFrame) -> DataFrame:
     """A row for each station and candidate whose party has a column; candidates of one party share its votes."""
     columns = [c for c in scores.columns if c.startswith(CANDIDATE) and c.removeprefix(CANDIDATE) not in SUMMARY]
     roster = candidates.select("candidate_no", "candidate_name", "party_name")
-    out = _long(scores, columns, CANDIDATE).join(F.broadcast(roster), "party_name")
+    out = _long(scores, columns, CANDIDATE).join(roster, "party_name")
     return out.withColumnRenamed("province_number", "constituency_no")
 
 
@@ -107,4 +107,4 @@ def area_summary(summary: DataFrame, candidate_long: DataFrame, party_long: Data
 def official_difference(totals_: DataFrame, candidates: DataFrame) -> DataFrame:
     """Counted against official candidate totals."""
     official = candidates.select("candidate_no", F.col("vote_count").alias("official_candidate_total"))
-    return totals_.join(F.broadcast(official), "candidate_no", "left").withColumn("official_difference", F.col("votes") - F.col("official_candidate_total"))
+    return totals_.join(official, "candidate_no", "left").withColumn("official_difference", F.col("votes") - F.col("official_candidate_total"))

@@ -61,7 +61,7 @@ def coverage(stations: DataFrame, files: DataFrame, multi: list[str] | None = No
     c = classified(files).where("level = 'station'")
     names = F.when(F.col("is_multi_tambol"), F.array(*[F.lit(x) for x in (KNOWN_MULTI if multi is None else multi)])).otherwise(F.array("tambol"))
     have = c.select(F.explode(names).alias("subdistrict"), "form_type").groupBy("subdistrict").agg(F.collect_set("form_type").alias("_f"))
-    out = stations.groupBy("district", "subdistrict").agg(F.count("*").alias("n_stations")).join(F.broadcast(have), "subdistrict", "left")
+    out = stations.groupBy("district", "subdistrict").agg(F.count("*").alias("n_stations")).join(have, "subdistrict", "left")
     for form in FORMS:
         out = out.withColumn(f"has_{form}", F.coalesce(F.array_contains("_f", form), F.lit(False)))
     n = F.coalesce(F.size("_f"), F.lit(0))
@@ -85,12 +85,12 @@ def source_manifest(stations: DataFrame, files: DataFrame) -> DataFrame:
     own = last(c.where("level = 'station' AND NOT is_multi_tambol").withColumnRenamed("tambol", "subdistrict"), ["subdistrict"])
     several = last(c.where("is_multi_tambol").withColumnRenamed("folder", "district"), ["district"]).select("district", "form_type", F.col("path").alias("_m"))
     rows = stations.select("station_code", "station_no", "district", "subdistrict").withColumn("form_type", F.explode(F.array(*[F.lit(f) for f in FORMS])))
-    rows = rows.join(F.broadcast(several), ["district", "form_type"], "left").join(F.broadcast(own), ["subdistrict", "form_type"], "left")
+    rows = rows.join(several, ["district", "form_type"], "left").join(own, ["subdistrict", "form_type"], "left")
     town = F.col("station_code").contains("T") & F.col("_m").isNotNull()
     names = ["station_code", "station_no", "district", "subdistrict", "form_type", "source_pdf", "source_kind"]
     rows = rows.withColumn("source_pdf", F.when(town, F.col("_m")).otherwise(F.col("path"))).withColumn("source_kind", F.when(town, "multi_tambol_mixed").otherwise(F.coalesce("kind", F.lit("missing"))))
     spark = stations.sparkSession
-    whole = spark.createDataFrame([(f,) for f in WHOLE], "form_type string").join(F.broadcast(last(c.where("level = 'constituency'").withColumn("_x", F.lit(1)), ["_x"])), "form_type", "left")
+    whole = spark.createDataFrame([(f,) for f in WHOLE], "form_type string").join(last(c.where("level = 'constituency'").withColumn("_x", F.lit(1)), ["_x"]), "form_type", "left")
     empty = [F.lit(None).cast(t).alias(n) for n, t in stations.select("station_code", "station_no", "district", "subdistrict").dtypes]
     whole = whole.select(*empty, "form_type", F.col("path").alias("source_pdf"), F.when(F.col("path").isNotNull(), "constituency").otherwise("missing").alias("source_kind"))
     return rows.select(*names).unionByName(whole)

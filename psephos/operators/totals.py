@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from psephos.functions.pdsem import known, pct, share, sum0, tercile_by_rank, tercile_by_value
-from psephos.operators.areas import party_key, party_label
+from psephos.operators.areas import party_key, party_label, scope
 
 
 def overview(stations: DataFrame) -> DataFrame:
@@ -138,7 +138,10 @@ def _named(votes: DataFrame, keys: list[Column]) -> DataFrame:
     return votes.groupBy(*keys).agg(sum0("votes").alias("votes_2026"))
 
 
-def candidate_totals(votes: DataFrame) -> DataFrame:
+def candidate_totals(votes: DataFrame, version: str = "V1") -> DataFrame:
+    """Current votes of each candidate and party. V3's rows are official totals, one a candidate, and pass as they are."""
+    if version == "V3":
+        return votes.select(F.col("entity_name").alias("candidate_name"), F.col("party_name").alias("party_name_2026"), F.col("votes").alias("votes_2026"))
     return _named(votes, [F.col("entity_name").alias("candidate_name"), F.col("party_name").alias("party_name_2026")])
 
 
@@ -146,6 +149,33 @@ def party_totals(votes: DataFrame) -> DataFrame:
     return _named(known(votes, "entity_name"), [party_key(F.col("entity_name")).alias("compare_party")])
 
 
+def votes_of(version: str, frames: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(candidate votes, party votes) of a version; those of V1 for a name that isn't one."""
+    return frames.get(version, frames["V1"])
+
+
+def _by_area(rows: DataFrame, district: str, subdistrict: str) -> bool:
+    """Whether a scope's own rows count: it is narrower than the whole, and rows by area are known."""
+    return (district != "All" or subdistrict != "All") and not rows.isEmpty()
+
+
+def past_candidate_totals(rows: DataFrame, official: DataFrame, district: str = "All", subdistrict: str = "All") -> DataFrame:
+    """(candidate_name, party_name_2023, votes_2023): the scope's rows summed, official totals without a scope or area rows."""
+    if not _by_area(rows, district, subdistrict):
+        return official.select("candidate_name", F.col("party_name").alias("party_name_2023"), F.col("official_candidate_total").alias("votes_2023"))
+    inside = known(scope(rows, district, subdistrict), "candidate_name", "party_name")
+    return inside.groupBy("candidate_name", F.col("party_name").alias("party_name_2023")).agg(sum0("votes").alias("votes_2023"))
+
+
+def scoped_party_totals(rows: DataFrame, official: DataFrame, district: str = "All", subdistrict: str = "All") -> DataFrame:
+    """(compare_party, votes_2023) from the scope's rows, or from official totals (party_name, votes) without a scope or area rows."""
+    return past_party_totals(scope(rows, district, subdistrict) if _by_area(rows, district, subdistrict) else official)
+
+
+def past_turnout(summary: DataFrame, district: str = "All", subdistrict: str = "All") -> DataFrame:
+    return scope(summary, district, subdistrict).select("district", "subdistrict", F.col("turnout_pct").alias("turnout_2023"), "station_count")
+
+
 def past_party_totals(rows: DataFrame) -> DataFrame:
     return known(rows, "party_name").groupBy(party_key(F.col("party_name")).alias("compare_party")).agg(sum0("votes").alias("votes_2023"))
 
@@ -175,6 +205,12 @@ def turnout_change(past: DataFrame, stations: DataFrame, n: int = 12) -> DataFra
     return out.orderBy(F.desc(F.abs("change")), "district", "subdistrict").limit(n).orderBy("turnout_2026", "district", "subdistrict")
 
 
+def feature_summary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each column: its median and largest value."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "x")
+    return long.groupBy("feature").agg(F.median("x").alias("median"), F.max("x").alias("max"))
+
+
 def years_long(df: DataFrame, ids: list[str], prefix: str, name: str) -> DataFrame:
     """prefix_2023 and prefix_2026 as two rows of (Year, name)."""
     long = df.unpivot(ids, [f"{prefix}_2023", f"{prefix}_2026"], "Year", name)

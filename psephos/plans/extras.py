@@ -198,8 +198,8 @@ def j15(t: Tables) -> DataFrame:
 
 @query("t08_ordered_list", f"SELECT {KEY} AS area_key, string_agg(station_code, ',' ORDER BY station_no) AS codes FROM sc GROUP BY 1")
 def t08(t: Tables) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("station_no", "station_code")))
-    return t.cstations.groupBy(areas.area_key("Sub-district").alias("area_key")).agg(F.array_join(F.transform(ordered, lambda x: x["station_code"]), ",").alias("codes"))
+    listed = areas.ordered_list(t.cstations, [areas.area_key("Sub-district").alias("area_key")], "station_no", "station_code", "codes")
+    return listed.withColumn("codes", F.array_join("codes", ","))
 
 
 @query("r04_size_pivot", "+ tp AS (SELECT entity_name FROM vp GROUP BY 1 ORDER BY coalesce(sum(votes), 0) DESC, entity_name LIMIT 6), rk AS (SELECT station_code, row_number() OVER (ORDER BY eligible_voters, station_no) - 1 AS r, count(*) OVER () AS n FROM sc WHERE eligible_voters IS NOT NULL), sz AS (SELECT station_code, CASE WHEN r * 3 < n - 1 THEN 'Small' WHEN r * 3 < 2 * (n - 1) THEN 'Medium' ELSE 'Large' END AS station_size FROM rk) SELECT station_size, " + ", ".join(f'CAST(coalesce(sum(CASE WHEN entity_name = \'{x}\' THEN votes END), 0) AS BIGINT) AS "{x}"' for x in TYPES) + " FROM vp JOIN sz USING (station_code) GROUP BY 1")
@@ -209,9 +209,7 @@ def r04(t: Tables) -> DataFrame:
 
 @query("a17_feature_summary", "+ b AS (SELECT station_code, 'ballots_used' AS feature, CAST(ballots_used AS DOUBLE) AS x FROM sc UNION ALL SELECT station_code, 'voters_present', CAST(voters_present AS DOUBLE) FROM sc) SELECT feature, median(x) AS median, max(x) AS max FROM b GROUP BY 1")
 def a17(t: Tables) -> DataFrame:
-    columns = ["ballots_used", "voters_present"]
-    long = t.cstations.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "x")
-    return long.groupBy("feature").agg(F.median("x").alias("median"), F.max("x").alias("max"))
+    return totals.feature_summary(t.cstations, ["ballots_used", "voters_present"])
 
 
 @query("w05_group_share", "SELECT seq, votes / sum(votes) OVER (PARTITION BY station_code) AS share FROM vp WHERE votes IS NOT NULL")

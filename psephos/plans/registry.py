@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from psephos.plans import analytics, extras, paperwork  # noqa: F401  (the others register their queries)
+from psephos.plans import analytics, extras, paperwork, scopes  # noqa: F401  (the others register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from psephos.operators.forms import CHECKPOINT
@@ -13,6 +13,9 @@ STATIONS_REF = "station_code string, station_no string, station_name string, dis
 NESTED_STATIONS = "provinces array<struct<name: string, areas array<struct<area: int, stations: array<struct<code: string, name: string, district: string, subdistrict: string>>>>>>".replace("areas array", "areas: array")
 ROSTER = "results array<struct<number: int, name: string, party: string, votes: long>>"
 
+#: Paths of one join side that may be broadcast.
+BROADCAST_PATHS = 10_000
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether the path, which any of Spark's file systems may hold, is there."""
@@ -89,17 +92,16 @@ def geo_filter(areas: DataFrame, keys: DataFrame) -> DataFrame:
     return areas.join(keys.select("area_key").distinct(), "area_key", "left_semi")
 
 
-def files(spark: SparkSession, path: str, pattern: str = "*.{pdf,PDF}", content: bool = True) -> DataFrame:
-    """(path, length[, content]) of all matching files below a folder, once for each path whatever its case."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    one = rows.select(F.min("path").over(_by_lower()).alias("_p"), "*").where(F.col("path") == F.col("_p"))
-    return one.select("path", "length", *(["content"] if content else []))
-
+def files(spark: SparkSession, path: str, pattern: str = "*.[pP][dD][fF]", content: bool = True) -> DataFrame:
+    """(path, length[, content]) of all matching files below a folder, once for each path whatever its case.
 
-def _by_lower():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lower("path"))
+    Paths that differ from an earlier one in case only are found in the listing; contents
+    are read afterwards, and not shuffled unless there are very many such paths.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    again = rows.select("path", F.row_number().over(Window.partitionBy(F.lower("path")).orderBy("path")).alias("_r")).where("_r > 1").select("path")
+    side = F.broadcast(again) if again.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS else again
+    return rows.select("path", "length", *(["content"] if content else [])).join(side, "path", "left_anti")
 
 
 def page_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter, Observation
 from pyspark.sql import functions as F
 
 from psephos.sources.readers import exists
 
 
-def csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+#: Written as the first letter of the first heading, so that every file begins with it.
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def _csv(df: DataFrame, mark: bool) -> DataFrameWriter:
+    marked = df.withColumnRenamed(df.columns[0], BYTE_ORDER_MARK + df.columns[0]) if mark else df
+    return marked.write.mode("overwrite").option("header", True).option("escape", '"')
+
+
+def csv(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with headings, and with a byte-order mark unless mark is False."""
+    _csv(df, mark).csv(path)
 
 
 def parquet(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -19,8 +29,11 @@ def parquet(df: DataFrame, path: str, by: str | None = None) -> None:
 
 def split_by_form(df: DataFrame, path: str, as_csv: bool = False) -> None:
     """A folder for each form; one pass over the rows."""
-    w = df.write.mode("overwrite").partitionBy("form_type")
-    w.option("header", True).csv(path) if as_csv else w.parquet(path)
+    if as_csv:
+        first = [c for c in df.columns if c != "form_type"]
+        _csv(df.select(*first, "form_type"), True).partitionBy("form_type").csv(path)
+    else:
+        parquet(df, path, by="form_type")
 
 
 def report(df: DataFrame, path: str) -> bool:
@@ -44,9 +57,9 @@ def checkpoints(rows: DataFrame, path: str, key: str = "key", force: bool = Fals
     if not force and exists(rows.sparkSession, path):
         done = rows.sparkSession.read.parquet(path).select(key).distinct()
         fresh = rows.join(done, key, "left_anti")
-    before = rows.sparkSession.read.parquet(path).count() if exists(rows.sparkSession, path) and not force else 0
-    fresh.write.mode("overwrite" if force else "append").parquet(path)
-    return rows.sparkSession.read.parquet(path).count() - before
+    written = Observation()
+    fresh.observe(written, F.count(F.lit(1)).alias("n")).write.mode("overwrite" if force else "append").parquet(path)
+    return written.get["n"]
 
 
 def bundle(candidates: DataFrame, parties: DataFrame, path: str, source: str, constituency_id: str) -> None:
