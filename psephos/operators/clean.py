@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from psephos.functions.pdsem import known, row_in, sum0
+from psephos.functions.pdsem import known, number, row_in, sum0
+from psephos.operators import nearest
 
 #: Turnout where none was observed (a fixed value).
 FALLBACK_TURNOUT = 0.71
 NEIGHBOURS = 10
-#: Rows that one side of a neighbour search may have to be broadcast.
-BROADCAST_ROWS = 200_000
 
 
 def _tag(mask: Column, tag: Column | str) -> Column:
@@ -83,26 +82,15 @@ def knn_impute(votes: DataFrame, stations: DataFrame, key: str, k: int = NEIGHBO
     Coordinates are entity_no and the station's eligible voters and good ballots; the
     distance is the root of 4 / shared times the squared differences of shared ones.
     Ties go to the lower key. Distances depend on a row's coordinates alone, so rows
-    with equal coordinates are one target and one donor profile: profiles are paired,
-    not rows, and of a donor profile at most k rows can count. With no shared
-    coordinate the mean of all known counts is taken.
+    with equal coordinates are one target, and of equal donors at most k can count. With
+    no shared coordinate the mean of all known counts is taken.
     """
     stats = stations.groupBy("station_code").agg(F.first("eligible_voters").alias("_e"), F.first("ballots_good").alias("_g"))
-    df = votes.join(stats, "station_code", "left").withColumn("_n", F.col("entity_no").cast("double"))
+    df = votes.join(stats, "station_code", "left").withColumn("_n", F.col("entity_no"))
     at = ["_n", "_e", "_g"]
-    targets = df.where("votes is null").select(*at).distinct()
-    donors = df.where("votes is not null").select(*[F.col(c).alias(f"d{c}") for c in at], F.col("votes").alias("_v"), F.col(key).alias("_k"))
-    donors = donors.withColumn("_r", F.row_number().over(Window.partitionBy(*[f"d{c}" for c in at]).orderBy("_k"))).where(F.col("_r") <= k)
-    profiles = donors.groupBy(*[f"d{c}" for c in at]).agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_rows"))
-    shared = sum((F.when(F.col(c).isNotNull() & F.col(f"d{c}").isNotNull(), 1).otherwise(0) for c in at), F.lit(0))
-    square = sum((F.coalesce(F.pow(F.col(c) - F.col(f"d{c}"), 2), F.lit(0.0)) for c in at), F.lit(0.0))
-    side = F.broadcast(targets) if targets.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else targets
-    paired = profiles.crossJoin(side).withColumn("_s", shared).where("_s > 0").withColumn("_d", F.sqrt(4 / F.col("_s") * square))
-    # the k nearest of each target: donors are folded one after another into a list of k, on either side of the shuffle
-    best = paired.withColumn("_one", F.transform("_rows", lambda r: F.struct(F.col("_d").alias("d"), r["_k"].alias("k"), r["_v"].alias("v"))))
-    local = best.withColumn("_b", F.pmod(F.xxhash64(*[f"d{c}" for c in at]), F.lit(64)))
-    part = local.groupBy(*at, "_b").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_one"))), 1, k).alias("_best"))
-    near = part.groupBy(*at).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_best"))), 1, k).alias("_best"))
+    df = nearest.kept(df.withColumns({c: number(F.col(c).cast("double")) for c in at}))
+    donors = df.where("votes is not null").select(*at, F.col(key).alias("_k"), F.col("votes").alias("_v"))
+    near = nearest.neighbours(df.where("votes is null"), donors, at, k)
     mean = F.aggregate("_best", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("_best")
     near = near.select(*[F.col(c).alias(f"t{c}") for c in at], F.bround(mean).alias("_fill"))
     overall = df.agg(F.bround(F.avg("votes")).alias("_mean"))
