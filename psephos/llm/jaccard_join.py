@@ -29,10 +29,12 @@ sent once, or whenever they have reached a bounded size.
 Verification. Candidates are grouped by connectivity, and each group's sets are
 compared in one task, fragment by fragment: presence matrices give all partial
 overlaps of a fragment at once, the sum of which is the exact overlap. Groups that are
-too large for a task are dealt to chunks, and each pair of chunks is a task. No pairs
-are written: a task gives each set's number of links and a root of its links.
+too large for a task are cut by size and dealt to chunks; each pair of chunks of sizes
+that can link is a task, in rounds of bounded size. No pairs are written: a task gives each set's number of links and a root of its links.
 
-Equal sets are one vertex throughout. Vertices, parts and n-grams have 64-bit hashes.
+Equal sets are one vertex throughout. Vertices, parts and n-grams have 64-bit hashes. Where
+shared parts are counted, a set's tag has 48 bits, and so it would take two different sets
+with one tag that share parts to lose one.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,10 +54,16 @@ from psephos.llm.kernels import U, mix
 
 #: Most sets, and most n-grams, of one chunk of a group of candidates.
 CHUNK_SETS, CHUNK_GRAMS = 512, 1_000_000
+#: N-grams that may be sent to chunks in one round, if the sets hold fewer than half of it.
+ROUND = 50_000_000
 #: Parts that a map task holds before it sends them.
 HELD_PARTS = 1_000_000
 #: Parts of one piece that a task takes at a time.
 PIECE = 200_000
+#: Tags have 48 bits: with each part one is sent.
+TAG = (1 << 48) - 1
+#: Bits, as a power of 2, in which texts that are wanted are marked before they are shuffled.
+MARKS = 26
 #: Counts, or edges, that a task gathers before it sends them.
 GATHERED = 500_000
 #: Fragments in which shared parts are counted, as a multiple of the elements in which linked sets can differ.
@@ -156,7 +165,7 @@ def counted(grams: np.ndarray, vertex: int, percent: int) -> Iterator[tuple[int,
         if not (d := most_different(hi, hi, percent)):
             continue
         own, starts = _cut_up(grams, int(COUNTED * d) + 1)
-        tag = int(mix(np.array([vertex], dtype=np.int64).view(U) + U(k + 1)).view(np.int64)[0]) or 1
+        tag = int(mix(np.array([vertex], dtype=np.int64).view(U) + U(k + 1))[0] & U(TAG)) or 1
         yield tag, len(own) - most_different(n, min(hi, n * 100 // percent), percent), own, starts, k
 
 
@@ -269,11 +278,26 @@ def _dealt(keys: np.ndarray, deal: int) -> np.ndarray:
     return np.searchsorted(((keys >> U(32)) * U(deal)) >> U(32), np.arange(deal + 1, dtype=U))
 
 
+def _short(tags: np.ndarray) -> bytes:
+    """Six bytes of each tag."""
+    return np.ascontiguousarray(tags, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _tags(short: bytes, n: int) -> np.ndarray:
+    """n tags, those given and then 0."""
+    out = np.zeros((n, 8), dtype=np.uint8)
+    given = np.frombuffer(short, dtype=np.uint8).reshape(-1, 6)
+    out[: len(given), :6] = given
+    return out.view("<i8").reshape(-1)
+
+
 def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int) -> DataFrame:
     """(tag, shared): how many of a set's parts at a level other sets have too, or more; no row if none.
 
     A map task sends each part once: one that several of its sets have is counted for
-    them at once and sent with tag 0, which says so. n is about the number of n-grams.
+    them at once and sent without a tag, which says so. Within a piece parts have 32-bit
+    keys: two that are the same by chance can only add to what a set shares. n is about
+    the number of n-grams.
     """
     deal = _pieces(partitions, n)
 
@@ -288,9 +312,15 @@ def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
         several = np.bincount(group, minlength=int(head.sum())) > 1
         v = np.array(tags, dtype=np.int64)
         shared = np.bincount(at[several[group]], minlength=len(v))
-        rows = [(*r, b"") for r in _packed(_dealt(p[head], deal), p[head], np.where(several, 0, v[at[head]]))]
-        rows.append((int(mix(v[:1].astype(U))[0] % U(deal)), b"", b"", b"", np.stack((v, shared), axis=1)[shared > 0].tobytes()))
-        yield _rows(rows)
+        p, at = p[head], at[head]
+        bounds = _dealt(p, deal)
+        order = np.lexsort((several, np.repeat(np.arange(deal), np.diff(bounds))))  # in each piece those of one set first
+        keys, own = p[order].astype("<u4").tobytes(), _short(v[at[order]][~several[order]])
+        ends = np.concatenate(([0], np.cumsum(~several[order])))[bounds] * 6
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        pieces = [*full, int(mix(v[:1].astype(U))[0] % U(deal))]
+        columns = ([keys[4 * bounds[i] : 4 * bounds[i + 1]] for i in full] + [b""], [own[ends[i] : ends[i + 1]] for i in full] + [b""], [b""] * len(full) + [np.stack((v, shared), axis=1)[shared > 0].tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array(pieces, type=pa.int32()), *(pa.array(c, type=pa.binary()) for c in columns)], names=["pid", "keys", "tags", "rest"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
@@ -314,7 +344,8 @@ def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for run in cluster.runs(batches, "pid"):
-            p, v = (np.concatenate(c) for c in zip(*(_unpacked(row) for row in run)))
+            p = np.frombuffer(b"".join(row["keys"] for row in run), dtype="<u4")
+            v = np.concatenate([_tags(row["tags"], len(row["keys"]) // 4) for row in run])
             order = np.argsort(p, kind="stable")
             p, v = p[order], v[order]
             head = np.concatenate(([True], p[1:] != p[:-1])) if len(p) else np.zeros(0, dtype=bool)
@@ -328,7 +359,7 @@ def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(counts(batches), _summed, ["tag", "shared"])
 
-    packed = docs.select("text").mapInArrow(cut, PACKED).repartition(partitions, "pid").sortWithinPartitions("pid")
+    packed = docs.select("text").mapInArrow(cut, "pid int, keys binary, tags binary, rest binary").repartition(partitions, "pid").sortWithinPartitions("pid")
     return packed.mapInArrow(meet, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
 
 
@@ -431,6 +462,43 @@ def _compare(groups: Iterator[pa.Table], percent: int) -> Iterator[pa.RecordBatc
         yield send()
 
 
+def chunked(members: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """members (vertex, comp, n) with their chunk and the others that it meets, itself included; the n-grams that are sent so.
+
+    A group that is too large for a task is cut by size, in steps of the largest ratio of
+    sizes that link: sets link within a step or between neighbouring ones. Only chunks of
+    such steps meet.
+    """
+    small = members.groupBy("comp").agg(((F.count("*") <= CHUNK_SETS) & (F.sum("n") <= CHUNK_GRAMS)).alias("small"))
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent * 1.001)).cast("long")
+    stepped = members.join(small, "comp").withColumn("step", F.when(F.col("small"), 0).otherwise(step)).drop("small")
+    pieces = stepped.groupBy("comp", "step").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("long").alias("pieces"), F.sum("n").alias("grams"))
+    pieces = cluster.cut(pieces)
+    near = pieces.select("comp", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), F.struct(F.col("step").alias("s"), F.col("pieces").alias("p")).alias("_near"))
+    ids = lambda x: F.transform(F.sequence(F.lit(0).cast("long"), x["p"] - 1), lambda i: F.shiftleft(x["s"], 32) + i)
+    meets = pieces.join(near.groupBy("comp", "step").agg(F.flatten(F.transform(F.collect_list("_near"), ids)).alias("others")), ["comp", "step"])
+    sent = meets.agg(F.sum(F.col("grams") * F.size("others"))).first()[0] or 0
+    own = F.shiftleft(F.col("step"), 32) + F.pmod(F.xxhash64("vertex"), F.col("pieces"))
+    return stepped.join(meets.drop("grams"), ["comp", "step"]).withColumn("chunk", own), sent
+
+
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs' rows of wanted's (doc_id, text_hash), and by chance a few others: what needn't be shuffled to meet wanted stays behind."""
+    spot = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 64 - MARKS)
+    bit = F.expr("shiftleft(1L, CAST(_spot & 63 AS INT))")
+    words = wanted.select(spot.alias("_spot")).select(F.shiftright("_spot", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(1 << (MARKS - 6), dtype=np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(marks)
+
+    @F.pandas_udf("boolean")
+    def is_marked(spots: pd.Series) -> pd.Series:
+        at = spots.to_numpy()
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return docs.where(is_marked(spot))
+
+
 def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document.
 
@@ -472,19 +540,30 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=[*names, "grams"])
 
     tagged = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
-    side = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        side = F.broadcast(wanted)
+    else:
+        side, tagged = wanted, marked(tagged, wanted)
     kept = tagged.join(side, ["doc_id", "text_hash"]).select("text", "vertex", "copies", "n").mapInArrow(cut_sets, "vertex long, copies long, n long, grams binary")
     kept = cluster.cut(kept.dropDuplicates(["vertex"]))  # repeated rows may stand in many tasks
     cluster.release(spark)
     group = cluster.components(candidates(kept, percent, partitions, grams)).select(F.col("node").alias("vertex"), F.col("root").alias("comp"))
     members = cluster.cut(group.join(kept.select("vertex", "n"), "vertex"))
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
-    sets = kept.join(members.join(sizes, "comp").select("vertex", "comp", "chunks"), "vertex")
-    sets = sets.withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")).cast("int"))
-    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+    dealt, sent = chunked(members, percent)
+    # what is sent at a time takes no more disk than twice the sets themselves, or 400 MB
+    total = members.agg(F.sum("n")).first()[0] or 0
+    rounds = -(-sent // max(2 * total, ROUND))
+    sets = kept.join(dealt.select("vertex", "comp", "chunk", "others"), "vertex")
+    met = sets.withColumn("other", F.explode("others")).select(
         "comp", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "vertex", "copies", "grams"
     )
-    found = cluster.cut(cluster.map_groups(met, ["comp", "low", "high"], lambda groups: _compare(groups, percent), "vertex long, root long, links long"))
+    found = None
+    for r in range(max(1, rounds)):
+        some = met.where(F.pmod(F.xxhash64("comp", "low", "high"), F.lit(rounds)) == r) if rounds > 1 else met
+        some = cluster.cut(cluster.map_groups(some, ["comp", "low", "high"], lambda groups: _compare(groups, percent), "vertex long, root long, links long"))
+        found = some if found is None else found.union(some)
+        cluster.release(spark)
+    del some
     del sets, met
     cluster.release(spark)
 

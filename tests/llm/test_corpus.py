@@ -559,3 +559,31 @@ def test_pipeline_runs(spark, tmp_path, corpus):
     kept = {r.doc_id for r in out.select("doc_id").distinct().collect()}
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns)
     assert 0 not in kept and 1 not in kept and 3 in kept and 11 not in kept
+
+
+def test_large_groups_of_candidates_send_sets_only_to_sizes_that_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 8)
+    members = spark.range(640).selectExpr("id AS vertex", "7L AS comp", "10 + id AS n")
+    dealt, sent = jaccard_join.chunked(members, 80)
+    rows = dealt.collect()
+    chunks = {r.vertex: (r.n, r.chunk, set(r.others)) for r in rows}
+    assert len(chunks) == 640 and sent == sum(r.n * len(r.others) for r in rows) < 0.6 * sum(r.n for r in rows) * len({r.chunk for r in rows})
+    for n, chunk, others in chunks.values():
+        for m, other, back in chunks.values():
+            assert not (80 * n <= 100 * m and 80 * m <= 100 * n) or other in others and chunk in back
+
+
+def test_only_wanted_texts_are_shuffled(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "xxhash64(id) AS text_hash")
+    wanted = docs.where("doc_id % 10 = 3").withColumn("n", F.lit(1))
+    left = jaccard_join.marked(docs, wanted)
+    assert left.join(wanted, ["doc_id", "text_hash"], "left_semi").count() == 300 and left.count() < 330
+
+
+def test_chunks_of_a_large_group_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "ROUND", 1)
+    texts = [" ".join(f"w{i}" for i in range(a, a + 60)) for a in range(30)]
+    got = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=1, percent=80)
+    # 60 words each, a apart: (60 - a) / (60 + a) >= 0.8 up to a = 6
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got.collect()} == {i: (0, min(6, i) + min(6, 29 - i)) for i in range(30)}
