@@ -10,7 +10,10 @@ D = (|a| + |b|) * (100 - t) / (100 + t) elements, and so in at most D fragments.
 about 1.5 D fragments, a set that links has all its parts but D in common with one other
 set. Each task counts which of the parts that it met several sets have; a set of which
 more than D parts are its alone goes no further. Only shared parts are sent, and a
-part of several n-grams is rarely shared by chance.
+part of several n-grams is rarely shared by chance. Every task that met some of a set's
+parts sends a count for it, so a set with all its parts shared would have as many counts as there are
+tasks. Therefore a few parts of each set, the least by hash, are counted before: a set that
+shares several of these goes on uncounted, as one that may link, and its parts are sent without saying whose they are.
 
 Candidates. Cut in more than D fragments, two sets that link agree in at least one
 entirely. The number of fragments follows from the size, in
@@ -41,12 +44,13 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from psephos.llm import cluster, kernels
@@ -62,7 +66,9 @@ HELD_PARTS = 1_000_000
 PIECE = 200_000
 #: Tags have 48 bits: with each part one is sent.
 TAG = (1 << 48) - 1
-#: Bits, as a power of 2, in which texts that are wanted are marked before they are shuffled.
+#: Of each set at each level so many parts, the least by hash, are counted first; a set that shares LIKELY of them is kept without counting all.
+LEAST, LIKELY = 8, 3
+#: Bits, as a power of 2, in which sets that are kept so, and texts that are wanted, are marked.
 MARKS = 26
 #: Counts, or edges, that a task gathers before it sends them.
 GATHERED = 500_000
@@ -169,21 +175,31 @@ def counted(grams: np.ndarray, vertex: int, percent: int) -> Iterator[tuple[int,
         yield tag, len(own) - most_different(n, min(hi, n * 100 // percent), percent), own, starts, k
 
 
+def least(found: np.ndarray) -> np.ndarray:
+    """The least parts of a set, LEAST of them or all."""
+    return np.partition(found, LEAST - 1)[:LEAST] if len(found) > LEAST else found
+
+
 def digests(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, vertex, needs) of docs' (doc_id, text); vertex is null for an empty set, needs are its (tag, need)."""
+    """(doc_id, text_hash, n_shingles, vertex, needs) of docs' (doc_id, text); vertex is null for an empty set, needs are its (tag, need, least parts)."""
     names = ["doc_id", "text_hash", "n_shingles", "vertex", "needs"]
-    needs_type = pa.list_(pa.struct([("tag", pa.int64()), ("need", pa.int64())]))
+    needs_type = pa.list_(pa.struct([("tag", pa.int64()), ("need", pa.int64()), ("least", pa.binary())]))
+
+    def needs_of(s: np.ndarray, v: int) -> Iterator[dict]:
+        weights = _weights(s)
+        for tag, need, own, starts, at in counted(s, v, percent):
+            yield {"tag": tag, "need": need, "least": least(_hashed(weights, own, starts, at)).tobytes()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in cluster.blocks(batches):
             sets = kernels.shingle_sets(texts, k)
             vertices = [vertex_of(s) if len(s) else None for s in sets]
             n = pa.array([len(s) for s in sets], type=pa.int64())
-            needs = [[{"tag": c[0], "need": c[1]} for c in counted(s, v, percent)] if v else [] for s, v in zip(sets, vertices)]
+            needs = [list(needs_of(s, v)) if v else [] for s, v in zip(sets, vertices)]
             columns = [batch.column("doc_id"), batch.column("text_hash"), n, pa.array(vertices, type=pa.int64()), pa.array(needs, type=needs_type)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, text_hash long, n_shingles long, vertex long, needs array<struct<tag: long, need: long>>"
+    schema = "doc_id long, text_hash long, n_shingles long, vertex long, needs array<struct<tag: long, need: long, least: binary>>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
@@ -291,13 +307,13 @@ def _tags(short: bytes, n: int) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
-def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int) -> DataFrame:
-    """(tag, shared): how many of a set's parts at a level other sets have too, or more; no row if none.
+def _shared(rows: DataFrame, sets: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[int, bool, np.ndarray]]], partitions: int, n: int) -> DataFrame:
+    """(tag, shared), in several rows to be summed: how many of the parts of each tag other sets have too, or more; no row if none.
 
-    A map task sends each part once: one that several of its sets have is counted for
-    them at once and sent without a tag, which says so. Within a piece parts have 32-bit
-    keys: two that are the same by chance can only add to what a set shares. n is about
-    the number of n-grams.
+    sets gives (tag, whether to count for it, parts). A map task sends each part once: one that
+    several of its sets have is counted for them at once and sent without a tag, which says so; parts of
+    sets that aren't counted go without a tag too. Within a piece parts have 32-bit keys: two that
+    are the same by chance can only add to what a set shares. n is at least about the number of parts.
     """
     deal = _pieces(partitions, n)
 
@@ -311,14 +327,15 @@ def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
         group = np.cumsum(head) - 1
         several = np.bincount(group, minlength=int(head.sum())) > 1
         v = np.array(tags, dtype=np.int64)
-        shared = np.bincount(at[several[group]], minlength=len(v))
+        shared = np.where(v != 0, np.bincount(at[several[group]], minlength=len(v)), 0)
         p, at = p[head], at[head]
+        bare = several | (v[at] == 0)
         bounds = _dealt(p, deal)
-        order = np.lexsort((several, np.repeat(np.arange(deal), np.diff(bounds))))  # in each piece those of one set first
-        keys, own = p[order].astype("<u4").tobytes(), _short(v[at[order]][~several[order]])
-        ends = np.concatenate(([0], np.cumsum(~several[order])))[bounds] * 6
+        order = np.lexsort((bare, np.repeat(np.arange(deal), np.diff(bounds))))  # in each piece those with a tag first
+        keys, own = p[order].astype("<u4").tobytes(), _short(v[at[order]][~bare[order]])
+        ends = np.concatenate(([0], np.cumsum(~bare[order])))[bounds] * 6
         full = np.flatnonzero(np.diff(bounds)).tolist()
-        pieces = [*full, int(mix(v[:1].astype(U))[0] % U(deal))]
+        pieces = [*full, int(mix(p[:1])[0] % U(deal))]
         columns = ([keys[4 * bounds[i] : 4 * bounds[i + 1]] for i in full] + [b""], [own[ends[i] : ends[i + 1]] for i in full] + [b""], [b""] * len(full) + [np.stack((v, shared), axis=1)[shared > 0].tobytes()])
         yield pa.RecordBatch.from_arrays([pa.array(pieces, type=pa.int32()), *(pa.array(c, type=pa.binary()) for c in columns)], names=["pid", "keys", "tags", "rest"])
 
@@ -327,16 +344,13 @@ def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
         tags: list[int] = []
         seen: set[int] = set()
         held = 0
-        for _, texts in cluster.blocks(batches):
-            for s in kernels.shingle_sets(texts, k):
-                if not len(s) or (v := vertex_of(s)) in seen:
-                    continue
-                seen.add(v)
-                weights = _weights(s)
-                for tag, _, own, starts, at in counted(s, v, percent):
-                    found.append(_hashed(weights, own, starts, at))
-                    tags.append(tag)
-                    held += len(own)
+        for tag, count, some in sets(batches):
+            if tag in seen:
+                continue
+            seen.add(tag)
+            found.append(some)
+            tags.append(tag if count else 0)
+            held += len(some)
             if held >= HELD_PARTS:
                 yield from send(found, tags)
                 found, tags, held, seen = [], [], 0, set()
@@ -359,8 +373,44 @@ def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int)
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(counts(batches), _summed, ["tag", "shared"])
 
-    packed = docs.select("text").mapInArrow(cut, "pid int, keys binary, tags binary, rest binary").repartition(partitions, "pid").sortWithinPartitions("pid")
-    return packed.mapInArrow(meet, "tag long, shared long").groupBy("tag").agg(F.sum("shared").alias("shared"))
+    packed = rows.mapInArrow(cut, "pid int, keys binary, tags binary, rest binary").repartition(partitions, "pid").sortWithinPartitions("pid")
+    return packed.mapInArrow(meet, "tag long, shared long")
+
+
+def likely(known: DataFrame, partitions: int, n: int) -> DataFrame:
+    """The vertices of digests that share several of their least parts with other sets. n is the number of those parts, or more."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
+        for batch in batches:
+            for tag, some in zip(batch.column("tag").to_pylist(), batch.column("least")):
+                yield tag, True, np.frombuffer(some.as_buffer(), dtype=U)
+
+    needs = known.select("vertex", F.explode("needs").alias("need"))
+    shared = _shared(needs.select("need.tag", "need.least"), sets, partitions, n).groupBy("tag").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= LIKELY)
+    # equal sets have one tag: distinct before the join, or all copies would be in one task
+    return needs.select("vertex", "need.tag").distinct().join(shared, "tag", "left_semi").select("vertex").distinct()
+
+
+def shared_parts(docs: DataFrame, k: int, percent: int, partitions: int, n: int, marks: Broadcast) -> DataFrame:
+    """(tag, shared), in several rows to be summed, of docs' sets at each level, but for those marked by vertex. n is about the number of n-grams."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, np.ndarray]]:
+        last: set[int] = set()  # of the block before, so that repeated rows are rarely cut again
+        for _, texts in cluster.blocks(batches):
+            now: set[int] = set()
+            for s in kernels.shingle_sets(texts, k):
+                if not len(s) or (v := vertex_of(s)) in now:
+                    continue
+                now.add(v)
+                if v in last:
+                    continue
+                weights = _weights(s)
+                count = not is_set(marks.value, np.array([v]).view(U) >> U(64 - MARKS))[0]
+                for tag, _, own, starts, at in counted(s, v, percent):
+                    yield tag, count, _hashed(weights, own, starts, at)
+            last = now
+
+    return _shared(docs.select("text"), sets, partitions, n)
 
 
 def candidates(sets: DataFrame, percent: int, partitions: int, n: int) -> DataFrame:
@@ -482,21 +532,33 @@ def chunked(members: DataFrame, percent: int) -> tuple[DataFrame, int]:
     return stepped.join(meets.drop("grams"), ["comp", "step"]).withColumn("chunk", own), sent
 
 
-def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs' rows of wanted's (doc_id, text_hash), and by chance a few others: what needn't be shuffled to meet wanted stays behind."""
-    spot = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 64 - MARKS)
+def is_set(marks: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return (marks[spots >> spots.dtype.type(6)] >> (spots & spots.dtype.type(63)).astype(np.int64)) & 1 == 1
+
+
+def marks_of(rows: DataFrame, spot: Column) -> Broadcast:
+    """Bits, one of which is set for each row's spot."""
     bit = F.expr("shiftleft(1L, CAST(_spot & 63 AS INT))")
-    words = wanted.select(spot.alias("_spot")).select(F.shiftright("_spot", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = rows.select(spot.alias("_spot")).select(F.shiftright("_spot", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     marks = np.zeros(1 << (MARKS - 6), dtype=np.int64)
     marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
+    return rows.sparkSession.sparkContext.broadcast(marks)
+
+
+def with_mark(rows: DataFrame, spot: Column, marks: Broadcast) -> DataFrame:
+    """rows whose spot is marked."""
 
     @F.pandas_udf("boolean")
     def is_marked(spots: pd.Series) -> pd.Series:
-        at = spots.to_numpy()
-        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+        return pd.Series(is_set(marks.value, spots.to_numpy()))
+
+    return rows.where(is_marked(spot))
 
-    return docs.where(is_marked(spot))
+
+def marked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs' rows of wanted's (doc_id, text_hash), and by chance a few others: what needn't be shuffled to meet wanted stays behind."""
+    spot = F.shiftrightunsigned(F.xxhash64("doc_id", "text_hash"), 64 - MARKS)
+    return with_mark(docs, spot, marks_of(wanted, spot))
 
 
 def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -512,15 +574,21 @@ def join(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text",
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digest = cluster.cut(digests(docs, k, percent))
-    grams = digest.agg(F.sum("n_shingles")).first()[0] or 0
+    grams, tags = (x or 0 for x in digest.agg(F.sum("n_shingles"), F.sum(F.size("needs"))).first())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = digest.where("doc_id is not null and vertex is not null")
     vertices = known.groupBy("vertex").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"))
-    shared = cluster.cut(shared_parts(docs.where("doc_id is not null"), k, percent, partitions, grams))
+    # sets that can link with a larger one
+    some = known.where(F.col("n_shingles") * (100 - percent) >= percent)
+    spot = F.shiftrightunsigned("vertex", 64 - MARKS)
+    marks = marks_of(likely(some, partitions, LEAST * tags), spot)
+    shared = shared_parts(docs.where("doc_id is not null"), k, percent, partitions, grams, marks)
+    shared = cluster.cut(shared.groupBy("tag").agg(F.sum("shared").alias("shared")))
     cluster.release(spark)
-    # sets that can link with a larger one, and of which few enough parts are theirs alone
-    needs = known.where(F.col("n_shingles") * (100 - percent) >= percent).select("vertex", F.explode("needs").alias("need")).select("vertex", "need.*").distinct()
-    able = needs.join(shared, "tag", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("need")).select("vertex").distinct()
+    # those that weren't counted, or of which few enough parts are theirs alone
+    needs = some.select("vertex", F.explode("needs").alias("need")).select("vertex", "need.tag", "need.need").distinct()
+    able = needs.join(shared, "tag", "left").where(F.coalesce("shared", F.lit(0)) >= F.col("need")).select("vertex")
+    able = able.union(with_mark(some.select("vertex"), spot, marks)).distinct()
     wanted = cluster.cut(vertices.join(able, "vertex", "left_semi").select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash"), "vertex", "copies", "n"))
 
     def cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

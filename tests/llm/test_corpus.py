@@ -587,3 +587,32 @@ def test_chunks_of_a_large_group_in_rounds(spark, monkeypatch):
     got = jaccard_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=1, percent=80)
     # 60 words each, a apart: (60 - a) / (60 + a) >= 0.8 up to a = 6
     assert {r.doc_id: (r.component_id, r.n_links) for r in got.collect()} == {i: (0, min(6, i) + min(6, 29 - i)) for i in range(30)}
+
+
+def test_counts_of_shared_parts_do_not_grow_with_the_tasks(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*base[:at], f"x{i}", *base[at + 1 :]]) for i, at in enumerate(rng.integers(0, 400, 60))]
+    docs = make(spark, texts).repartition(30)
+    known = jaccard_join.digests(docs, 5, 80)
+    spot = F.shiftrightunsigned("vertex", 64 - jaccard_join.MARKS)
+    none = jaccard_join.marks_of(known.where("false"), spot)
+    marks = jaccard_join.marks_of(jaccard_join.likely(known, 4, 10_000), spot)
+    rows = {(p, m is marks): jaccard_join.shared_parts(docs, 5, 80, p, 30_000, m).count() for p in (2, 12) for m in (none, marks)}
+    # each set of the group was counted by every task; sets that are known to share parts no longer are
+    assert rows[12, False] > 3 * rows[2, False] and rows[12, True] == 0 == rows[2, True]
+    _, root, links = brute_links(texts, 5, 80)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.join(docs, k=5, percent=80).collect()}
+    assert [got[i] for i in range(len(texts))] == [(root[i], links[i]) for i in range(len(texts))]
+
+
+def test_sets_that_share_parts_only_with_uncounted_ones_are_found(spark, monkeypatch):
+    base = [f"w{i}" for i in range(300)]
+    near = [" ".join([*base[: 40 * i], f"x{i}", *base[40 * i + 1 :]]) for i in range(6)]
+    far = [" ".join([*base[:264], *(f"y{i}" for i in range(26))])]  # links with some, and shares few least parts
+    texts = [*near, *far, *near[:1], "other words " * 40]
+    _, root, links = brute_links(texts, 3, 80)
+    for kept in (1, 3, 9):  # from all that share anything to none
+        monkeypatch.setattr(jaccard_join, "LIKELY", kept)
+        got = {r.doc_id: (r.component_id, r.n_links) for r in jaccard_join.join(make(spark, texts).repartition(5), k=3, percent=80).collect()}
+        assert [got[i] for i in range(len(texts))] == [(root[i], links[i]) for i in range(len(texts))]
